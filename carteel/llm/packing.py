@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import ChunkTokenizer, batches
+from .tokens import ChunkTokenizer, batches, texts_of
 
 SIZE = 2048
 #: Tokens of a stream that one programme covers; a longer document has one of its own.
@@ -137,9 +137,9 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1,
 
         doc_ids, ids, have = [], [], 0
         for batch in parts:
-            texts, names = [t or "" for t in batch.column(1).to_pylist()], batch.column(0).to_pylist()
+            texts, names = texts_of(batch.column(1)), batch.column(0).to_pylist()
             for a, b in batches(texts):
-                for name, x in zip(names[a:b], tok.encode(texts[a:b]), strict=True):
+                for name, x in zip(names[a:b], tok.encode(texts.slice(a, b - a)), strict=True):
                     doc_ids.append(name)
                     ids.append(x + end)
                     have += len(ids[-1]) // tok.dtype.itemsize

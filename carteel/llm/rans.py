@@ -3,7 +3,7 @@
 File: ``CTRANS01``, blocks, index, its length (8 bytes), ``CTRANS01``.  All
 blocks of a data set share one frequency table (file ``table.bin``).  A block
 holds up to ``lanes * steps`` ids; id number ``t * lanes + n`` belongs to lane
-``n``.  Each lane is a coder of its own, and the lanes' 32-bit words are
+``n``.  Each lane is a coder of its own, and the lanes' 16-bit words are
 interleaved in the order in which a decoder asks for them.  Every ``every``
 steps a checkpoint keeps all lanes' states and the word position, so a block
 decodes from each checkpoint independently; the decoder here runs all lanes of
@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import RangeReader, workspace, write_file, written
-from .tokens import ChunkTokenizer, batches
+from .tokens import ChunkTokenizer, batches, texts_of
 
 MAGIC = b"CTRANS01"
-LOW = np.uint64(1 << 31)
-WORD = np.uint64(32)
-LOW32 = np.uint64(0xFFFFFFFF)
+#: A lane's state lies in [2**16, 2**32) between two ids; frequencies add up to 2**16.
+BITS = 16
+LOW = 1 << BITS
 HEAD = struct.Struct("<IIII")
 NO_ID = -(2**63)  # a null doc_id
 
@@ -42,50 +42,52 @@ class Layout:
     lanes: int = 32
     steps: int = 2048
     every: int = 512
-    together: int = 16  # blocks that are coded as one vector
+    together: int = 32  # blocks that are coded as one vector
 
 
 class Table:
-    """Frequencies with sum ``2**bits``, at least 1 for each id that occurs."""
+    """Frequencies with sum 2**16, at least 1 for each id that occurs."""
 
-    def __init__(self, counts: np.ndarray, bits: int = 17):
+    def __init__(self, counts: np.ndarray):
         counts = np.asarray(counts, np.int64)
         present = np.flatnonzero(counts)
-        if len(present) > 1 << bits:
-            raise ValueError(f"{len(present)} symbols don't fit {bits} bits")
+        if len(present) > LOW:
+            raise ValueError(f"{len(present)} symbols don't fit {BITS} bits")
         freq = np.zeros(len(counts), np.int64)
         if len(present):
             total = int(counts.sum())
-            freq[present] = np.maximum(1, (counts[present].astype(object) * (1 << bits) // total).astype(np.int64))
+            freq[present] = np.maximum(1, (counts[present].astype(object) * LOW // total).astype(np.int64))
             order = present[np.lexsort((present, -counts[present]))]
-            left, k = (1 << bits) - int(freq.sum()), 0
+            left, k = LOW - int(freq.sum()), 0
             if left > 0:
                 freq[order[0]] += left
             while left < 0:  # rounding up the rare ones took too much: the frequent ones give
                 s = order[k % len(order)]
-                give = min(-left, max(0, int(freq[s]) - 1), max(1, int(freq[s]) // 8))
+                give = min(-left, int(freq[s]) - 1, max(1, int(freq[s]) // 8))
                 freq[s] -= give
                 left, k = left + give, k + 1
-        self._set(freq, bits)
+        self._set(freq)
 
-    def _set(self, freq: np.ndarray, bits: int) -> None:
-        self.bits = bits
-        self.freq = freq.astype(np.uint64)
-        self.cum = np.concatenate(([0], np.cumsum(freq)[:-1])).astype(np.uint64) if len(freq) else self.freq
+    def _set(self, freq: np.ndarray) -> None:
+        self.freq = freq
+        before = np.concatenate(([0], np.cumsum(freq)[:-1])) if len(freq) else freq
         self.pad = int(np.argmax(freq)) if len(freq) else 0
-        kind = np.uint16 if len(freq) <= 1 << 16 else np.uint32
-        self.symbol = np.repeat(np.arange(len(freq), dtype=kind), freq)
+        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) <= LOW else np.uint32), freq)
+        # by id, for coding; whole numbers below 2**53 are exact in float64, which divides faster than integers do
+        self.f, self.c = freq.astype(np.float64), before.astype(np.float64)
+        # by slot, for decoding
+        self.slot_freq = freq[self.symbol].astype(np.uint32)
+        self.slot_rank = (np.arange(len(self.symbol)) - before[self.symbol]).astype(np.uint32)
 
     def dump(self) -> bytes:
-        return MAGIC + struct.pack("<II", self.bits, len(self.freq)) + zlib.compress(self.freq.astype("<u4").tobytes())
+        return MAGIC + struct.pack("<I", len(self.freq)) + zlib.compress(self.freq.astype("<u4").tobytes())
 
     @classmethod
     def load(cls, data: bytes) -> Table:
         if data[:8] != MAGIC:
             raise ValueError("no frequency table")
-        bits, _ = struct.unpack_from("<II", data, 8)
         table = cls.__new__(cls)
-        table._set(np.frombuffer(zlib.decompress(data[16:]), "<u4").astype(np.int64), bits)
+        table._set(np.frombuffer(zlib.decompress(data[12:]), "<u4").astype(np.int64))
         return table
 
 
@@ -109,32 +111,34 @@ def encode_blocks(ids: np.ndarray, table: Table, layout: Layout) -> list[bytes]:
 
 def _encode(ids: np.ndarray, table: Table, layout: Layout, steps: int, count: int) -> list[bytes]:
     lanes = layout.lanes
-    cells = ids.reshape(-1, steps, lanes)
-    n = len(cells)
-    bits, limit = np.uint64(table.bits), np.uint64(63 - table.bits)
-    state = np.full((n, lanes), LOW, np.uint64)
-    words = np.empty((steps, n, lanes), np.uint32)
-    sent = np.empty((steps, n, lanes), bool)
+    cells = np.ascontiguousarray(ids.reshape(-1, steps, lanes).swapaxes(0, 1)).reshape(steps, -1)
+    width = cells.shape[1]
+    n = width // lanes
+    state = np.full(width, float(LOW))
+    words = np.empty((steps, width), np.uint16)
+    sent = np.empty((steps, width), bool)
     marks = -(-steps // layout.every)
-    states = np.empty((marks, n, lanes), np.uint64)
+    states = np.empty((marks, width), np.uint32)
     for t in range(steps - 1, -1, -1):
-        s = cells[:, t, :]
-        f = table.freq[s]
-        m = state >= (f << limit)
-        words[t] = state & LOW32
-        sent[t] = m
-        state = np.where(m, state >> WORD, state)
-        q = state // f
-        state = (q << bits) + (state - q * f) + table.cum[s]
+        s = cells[t]
+        f = table.f.take(s)
+        high = np.floor(state * (1.0 / LOW))
+        np.subtract(state, high * LOW, out=words[t], casting="unsafe")
+        m = np.greater_equal(high, f, out=sent[t])
+        np.copyto(state, high, where=m)
+        q = np.floor(state / f)
+        state += q * (LOW - f)
+        state += table.c.take(s)
         if t % layout.every == 0:
             states[t // layout.every] = state
-    out = []
-    per_step = sent.sum(axis=2, dtype=np.int64)
+    per_step = sent.reshape(steps, n, lanes).sum(axis=2, dtype=np.int64)
+    words, sent, states = words.reshape(steps, n, lanes), sent.reshape(steps, n, lanes), states.reshape(marks, n, lanes)
+    cells, out = cells.reshape(steps, n, lanes), []
     for b in range(n):
         w = words[:, b, :][sent[:, b, :]]
         at = np.concatenate(([0], np.cumsum(per_step[:, b])))[: steps : layout.every]
-        mine = cells[b].reshape(-1)[:count] if count < steps * lanes else cells[b].reshape(-1)
-        out.append(HEAD.pack(len(mine), len(w), steps, _crc(mine)) + states[:, b, :].astype("<u8").tobytes() + at.astype("<u4").tobytes() + w.astype("<u4").tobytes())
+        mine = cells[:, b, :].reshape(-1)[:count]
+        out.append(HEAD.pack(len(mine), len(w), steps, _crc(mine)) + states[:, b, :].astype("<u4").tobytes() + at.astype("<u4").tobytes() + w.astype("<u2").tobytes())
     return out
 
 
@@ -154,32 +158,37 @@ def decode_blocks(blocks: list[bytes], table: Table, layout: Layout) -> list[np.
 def _decode(group, steps: int, table: Table, layout: Layout, out: list) -> None:
     lanes, every = layout.lanes, layout.every
     marks, n = -(-steps // every), len(group)
-    state = np.empty((n, marks, lanes), np.uint64)
-    at = np.empty((n, marks), np.int64)
+    state = np.empty((n, marks, lanes), np.uint32)
+    at = np.empty((n, marks), np.int32)
     words, base = [], 0
     for k, (_, block, (_, n_words, _, _)) in enumerate(group):
         pos = HEAD.size
-        state[k] = np.frombuffer(block, "<u8", marks * lanes, pos).reshape(marks, lanes)
-        pos += 8 * marks * lanes
+        state[k] = np.frombuffer(block, "<u4", marks * lanes, pos).reshape(marks, lanes)
+        pos += 4 * marks * lanes
         at[k] = np.frombuffer(block, "<u4", marks, pos).astype(np.int64) + base
         pos += 4 * marks
-        words.append(np.frombuffer(block, "<u4", n_words, pos))
+        words.append(np.frombuffer(block, "<u2", n_words, pos))
         base += n_words
-    stream = np.concatenate([*words, np.zeros(1, np.uint32)]).astype(np.uint64)
-    state, at = state.reshape(-1, lanes), at.reshape(-1)
-    cells = np.empty((n * marks, every, lanes), table.symbol.dtype)
-    mask, bits, end = np.uint64((1 << table.bits) - 1), np.uint64(table.bits), len(stream) - 1
-    for t in range(min(every, steps)):
+    # the last checkpoint of a block may have fewer steps; what is decoded past its end is dropped
+    stream = np.concatenate([*words, np.zeros(lanes * every + 1, np.uint16)]).astype(np.uint32)
+    state, at = state.reshape(-1, lanes), at.reshape(-1, 1)
+    todo = min(every, steps)
+    cells = np.empty((todo, n * marks, lanes), table.symbol.dtype)
+    mask, shift = np.uint32(LOW - 1), np.uint32(BITS)
+    rank = np.empty(state.shape, np.int32)
+    for t in range(todo):
         slot = state & mask
-        s = table.symbol[slot]
-        cells[:, t, :] = s
-        state = table.freq[s] * (state >> bits) + slot - table.cum[s]
+        table.symbol.take(slot, out=cells[t])
+        state >>= shift
+        state *= table.slot_freq.take(slot)
+        state += table.slot_rank.take(slot)
         m = state < LOW
-        rank = np.cumsum(m, axis=1)
-        word = stream[np.minimum(at[:, None] + rank - 1, end)]
-        state = np.where(m, (state << WORD) | word, state)
-        at = at + rank[:, -1]
-    cells = cells.reshape(n, marks * every * lanes)
+        np.cumsum(m, axis=1, dtype=np.int32, out=rank)
+        rank += at
+        at = rank[:, -1:].copy()
+        rank -= 1
+        np.copyto(state, (state << shift) | stream.take(rank, mode="clip"), where=m)
+    cells = np.ascontiguousarray(cells.swapaxes(0, 1)).reshape(n, marks * todo * lanes)
     for k, (i, _, (count, _, _, crc)) in enumerate(group):
         ids = cells[k, :count]
         if _crc(ids) != crc:
@@ -289,9 +298,9 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int, id_column: str = "d
         end = np.array([end_id], tok.dtype).tobytes()
         wide = tok.dtype.itemsize
         for batch in parts:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = texts_of(batch.column(1))
             for a, b in batches(texts):
-                ids = [x + end for x in tok.encode(texts[a:b])]
+                ids = [x + end for x in tok.encode(texts.slice(a, b - a))]
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([len(x) // wide for x in ids], pa.int64()), pa.array([wide] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "width", "ids"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
@@ -324,11 +333,11 @@ def token_counts(rows: DataFrame) -> np.ndarray:
     return counts
 
 
-def write_ids(rows: DataFrame, folder: str, layout: Layout = Layout(), bits: int = 17) -> DataFrame:
+def write_ids(rows: DataFrame, folder: str, layout: Layout = Layout()) -> DataFrame:
     """Write the ids of all rows as files ``ids-NNNNN.rans`` in ascending doc_id order and the shared table beside them.
 
     Returns the manifest: file_no, path, n_docs, n_tokens, first (ids in all files before)."""
-    table = Table(token_counts(rows), bits)
+    table = Table(token_counts(rows))
     write_file(f"{folder}/table.bin", [table.dump()])
     packed = table.dump()
 
@@ -391,7 +400,7 @@ def _batch(pa, rows):
     return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def encode_corpus(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, layout: Layout = Layout(), bits: int = 17) -> DataFrame:
+def encode_corpus(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, layout: Layout = Layout()) -> DataFrame:
     """Tokenise whole texts, write them as coded id files, read the files back.
 
     Nulls and empty texts have the end id alone.  Rows that share a doc_id all
@@ -400,4 +409,4 @@ def encode_corpus(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
     spark = docs.sparkSession
     folder = workspace(spark, "rans")
     rows = written(token_rows(docs, tokenizer, end_id), folder, "tokens")
-    return read_ids(write_ids(rows, folder, layout, bits), folder)
+    return read_ids(write_ids(rows, folder, layout), folder)
