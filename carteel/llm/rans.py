@@ -287,7 +287,8 @@ def file_chunks(docs: Iterator[tuple[int, np.ndarray]], table: Table, layout: La
 
 
 def token_rows(docs: DataFrame, tokenizer: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, ids): ids of each whole text and the end id, as little-endian 16-bit integers (32-bit for large vocabularies)."""
+    """(doc_id, n_tokens, width, ids): ids of each whole text and the end id, as little-endian integers of ``width``
+    bytes: 2, or 4 throughout for vocabularies of more than 65,536 ids."""
 
     def run(parts):
         import pyarrow as pa
@@ -319,8 +320,8 @@ def token_counts(rows: DataFrame) -> np.ndarray:
 
         counts = np.zeros(0, np.int64)
         for batch in parts:
-            for ids, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.bincount(_array(ids, width), minlength=len(counts))
+            if batch.num_rows:
+                got = np.bincount(_array(b"".join(batch.column(0).to_pylist()), batch.column(1)[0].as_py()), minlength=len(counts))
                 got[: len(counts)] += counts
                 counts = got
         used = np.flatnonzero(counts)
