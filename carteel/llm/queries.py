@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, packing, rans
+from . import chat, exact, language, mixing, near, packing, quality, rans, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,18 +18,60 @@ def op1_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.encode_corpus(_table(spark, sf_dir, "documents"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rendering's digest, its length, and its spans as text."""
+    shown = chat.rotate(_table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return shown.select("conv_id", "perspective", "part", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"), spans.alias("spans"), "n_turns", "n_own")
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan_mix(_table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.transform("copies", lambda c: c["shard"]).alias("shards"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicate_groups(_table(spark, sf_dir, "documents")).withColumnRenamed("text_digest", "text_sha256")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_table(spark, sf_dir, "pages"))
+
+
+def op7_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.learn(toxicity.sample(docs, _table(spark, sf_dir, "labels")))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("worst.start").alias("worst_start"), F.col("worst.end").alias("worst_end"))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_languages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rans_ids": op1_rans_ids,
+    "op2_order_minhash": op2_order_minhash,
+    "op3_chat_perspectives": op3_chat_perspectives,
+    "op4_mix_sources": op4_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_warc": op6_warc,
+    "op7_quality_ratio": op7_quality_ratio,
+    "op8_toxicity": op8_toxicity,
     "op9_pack": op9_pack,
+    "op10_language": op10_language,
 }
 
 #: DuckDB SQL where SQL can express the operator.
