@@ -13,10 +13,14 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import batches, texts_of
+
 #: The sample: at most so many documents of a language, of at most so many characters, and at most so many languages.
 SAMPLE, SAMPLE_CHARS, LANGUAGES = 400, 20_000, 200
 #: Pieces longer than this many characters (with the word mark) are left out.
@@ -26,7 +30,8 @@ ROUNDS, PRIOR = 3, 0.05
 #: Probability of a character that no piece covers.
 UNKNOWN = 1e-7
 MARK = "▁"
-WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Between words: anything but letters and their marks.
+BETWEEN = r"[^\p{L}\p{M}]+"
 #: Word scores that a process keeps.
 KEPT = 300_000
 
@@ -42,9 +47,15 @@ def pieces(model: str = "piece_bpe_32k.model", longest: int = LONGEST) -> list[s
     return [p for p in found if len(p) <= longest and regex.fullmatch(MARK + r"?[\p{L}\p{M}]+|" + MARK, p)]
 
 
+def split_words(texts: pa.Array) -> pa.ListArray:
+    """Runs of letters and marks of each text, in lower case; empty ones at the ends stay."""
+    return pc.split_pattern_regex(pc.utf8_lower(texts), BETWEEN)
+
+
 def words(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
-    return WORDS.findall(text.lower()) if text else []
+    """The words of one text."""
+    found = split_words(pa.array([text or ""], pa.string())).flatten().to_pylist()
+    return [w for w in found if regex.search(r"\p{L}", w)]
 
 
 class Model:
@@ -143,35 +154,102 @@ def sample(docs: DataFrame, per_language: int = SAMPLE, chars: int = SAMPLE_CHAR
 
 
 class Scorer:
-    """Scores texts; keeps the scores of the words it has met."""
+    """Scores texts; keeps the scores of the words it has met.
+
+    Words of one length run through the forward algorithm together: a substring
+    is looked up by a polynomial hash among those of the pieces."""
+
+    _BASE = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, model: Model):
         self.model, self._row = model, {}
-        self._scores = np.empty((KEPT, len(model.languages)))
-
-    def sums(self, found: list[str]) -> np.ndarray:
-        total = np.zeros(len(self.model.languages))
-        for a in range(0, len(found), KEPT):  # a slice has no more words than the table has rows
-            part = found[a : a + KEPT]
-            row = self._row
-            fresh = set(part).difference(row)
+        n = len(model.languages)
+        self._scores = np.empty((KEPT, n))
+        pieces_ = list(model.table)
+        hashes = np.array([self._hash(p) for p in pieces_], np.uint64)
+        order = np.argsort(hashes)
+        self._hashes = hashes[order]
+        # a row for each piece, one for characters without piece, one for other substrings
+        self._probs = np.vstack([np.array([model.table[pieces_[i]] for i in order]).reshape(-1, n), np.full((1, n), UNKNOWN), np.zeros((1, n))])
+
+    def _hash(self, piece: str) -> np.uint64:
+        h = 0
+        for c in piece:
+            h = (h * int(self._BASE) + ord(c) + 1) & (2**64 - 1)
+        return np.uint64(h)
+
+    def _same_length(self, found: list[str]) -> np.ndarray:
+        chars = np.array([list(map(ord, MARK + w)) for w in found], np.uint64) + np.uint64(1)
+        count, size = chars.shape
+        known, probs, longest = self._hashes, self._probs, self.model.longest
+        unknown, none = len(known), len(known) + 1
+        ahead = np.zeros((count, size + 1, probs.shape[1]))
+        ahead[:, 0] = 1.0
+        logs = np.zeros((count, probs.shape[1]))
+        powers = [np.uint64(pow(int(self._BASE), k, 2**64)) for k in range(longest)]
+        for i in range(1, size + 1):
+            most = min(i, longest)
+            h = np.zeros(count, np.uint64)
+            total = np.zeros((count, probs.shape[1]))
+            for k in range(1, most + 1):
+                h = h + chars[:, i - k] * powers[k - 1]  # one more character in front
+                at = np.searchsorted(known, h)
+                at[at == len(known)] = 0
+                row = np.where(known[at] == h, at, unknown if k == 1 else none) if len(known) else np.full(count, unknown if k == 1 else none)
+                total += ahead[:, i - k] * probs[row]
+            ahead[:, i] = total
+            if i % 8 == 0 and i < size:  # keep the numbers in range
+                logs += np.log(total)
+                ahead[:, max(0, i - longest) : i + 1] /= total[:, None, :]
+        return logs + np.log(ahead[:, size])
+
+    def _learn(self, fresh: list[str]) -> None:
+        by_length: dict[int, list[str]] = {}
+        for w in fresh:
+            by_length.setdefault(len(w), []).append(w)
+        for size, group in sorted(by_length.items()):
+            step = max(1, (1 << 19) // (size + 2))
+            for a in range(0, len(group), step):
+                part = group[a : a + step]
+                first = len(self._row)
+                self._scores[first : first + len(part)] = self._same_length(part)
+                self._row.update(zip(part, range(first, first + len(part)), strict=True))
+
+    def scores(self, found: list[str]) -> np.ndarray:
+        """A row for each distinct word of ``found``; zeros for what has no letter."""
+        row, out = self._row, np.zeros((len(found), len(self.model.languages)))
+        for a in range(0, len(found), KEPT // 2):
+            part = found[a : a + KEPT // 2]
+            fresh = [w for w in part if w not in row and w and regex.search(r"\p{L}", w)]
             if len(row) + len(fresh) > KEPT:
                 row.clear()
-                fresh = set(part)
-            for w in fresh:
-                self._scores[len(row)] = self.model.log_probability(w)
-                row[w] = len(row)
-            total += self._scores[np.fromiter(map(row.__getitem__, part), np.int64, len(part))].sum(axis=0)
-        return total
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, posterior with equal priors); ('und', 0) for texts without a letter."""
-        found = words(text)
-        if not found or not self.model.languages:
-            return "und", 0.0
-        sums = self.sums(found)
-        best = int(np.argmax(sums))
-        return self.model.languages[best], float(1.0 / np.exp(np.maximum(sums - sums[best], -700)).sum())
+                fresh = [w for w in part if w and regex.search(r"\p{L}", w)]
+            self._learn(fresh)
+            at = np.array([row.get(w, -1) for w in part], np.int64)
+            out[a : a + len(part)] = np.where(at[:, None] >= 0, self._scores[at], 0.0)
+        return out
+
+    def sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(log probabilities, whether there is a word) of each text."""
+        split = split_words(texts)
+        ends = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        rows = self.scores(coded.dictionary.to_pylist())
+        number = coded.indices.to_numpy()
+        total = np.zeros((len(texts), rows.shape[1]))
+        for d in range(len(texts)):
+            total[d] = rows[number[ends[d] : ends[d + 1]]].sum(axis=0)
+        return total, total.any(axis=1)
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        """Languages and posteriors with equal priors; 'und' and 0 for texts without a letter."""
+        if not self.model.languages:
+            return ["und"] * len(texts), [0.0] * len(texts)
+        total, there = self.sums(texts)
+        best = total.argmax(axis=1)
+        gap = np.maximum(total - total[np.arange(len(total)), best][:, None], -700)
+        score = np.where(there, 1.0 / np.exp(gap).sum(axis=1), 0.0)
+        return [self.model.languages[b] if t else "und" for b, t in zip(best.tolist(), there.tolist(), strict=True)], score.tolist()
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -182,12 +260,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     packed = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.longest))  # bounded by the vocabulary
 
     def run(parts):
-        import pyarrow as pa
-
         scorer = Scorer(Model(*packed.value))
         for batch in parts:
-            got = [scorer.predict(t.as_py()) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            texts = texts_of(batch.column(1))
+            for a, b in batches(texts):
+                lang, score = scorer.predict(texts.slice(a, b - a))
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
