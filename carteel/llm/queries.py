@@ -39,7 +39,8 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_pages(_table(spark, sf_dir, "pages"))
+    got = warc.archive_pages(_table(spark, sf_dir, "pages"))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
+#: Base 32 by SQL: five hexadecimal digits are four characters.
+_BASE32 = "array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST(concat('0x', substr(h, CAST(5 * i + 1 AS INTEGER), 5)) AS BIGINT) >> k) & 31 AS INTEGER) + 1, 1)), '')), '')"
+
 #: DuckDB SQL where SQL can express the operator.
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": """
@@ -82,4 +86,19 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
+    "op3_chat_perspectives": """
+        WITH t AS (SELECT conv_id, CAST(floor(turn / 256) AS BIGINT) AS part, turn, coalesce(role, 'unknown') AS role, coalesce(replace(text, '<|', '< |'), '') AS text
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        s AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+        r AS (SELECT t.conv_id, perspective, part, turn, role, text, role = perspective AS own, concat(text, '<|end|>', chr(10)) AS body,
+                     concat(CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE concat('<|user name=', replace(role, '<|', '< |'), '|>') END, chr(10)) AS head
+              FROM t JOIN s ON t.conv_id = s.conv_id),
+        o AS (SELECT *, CAST(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM r)
+        SELECT conv_id, perspective, part, md5(string_agg(concat(head, body), '' ORDER BY turn, role, text)) AS text_md5, CAST(max(stop) AS BIGINT) AS n_chars,
+               coalesce(string_agg(CASE WHEN own THEN concat(stop - length(body), '-', stop) END, ',' ORDER BY stop), '') AS spans, count(*) AS n_turns, count(CASE WHEN own THEN 1 END) AS n_own
+        FROM o GROUP BY conv_id, perspective, part""",
+    "op6_warc": f"""
+        SELECT page_id, octet_length(encode(html)) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM (SELECT page_id, html, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM (SELECT page_id, coalesce(html, '') AS html FROM pages))""",
 }

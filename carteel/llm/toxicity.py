@@ -11,6 +11,7 @@ offending passage is.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterable
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The sample: at most so many labelled documents, of at most so many characters each.
-SAMPLE, SAMPLE_CHARS = 6000, 20_000
+SAMPLE, SAMPLE_CHARS = 4000, 20_000
 #: Words and beginnings with a weight: those in at least LEAST documents of the sample, the KEPT most frequent.
 LEAST, KEPT = 3, 60_000
 #: Lengths of the beginnings of words.
@@ -91,26 +92,28 @@ class Model:
 
 
 def learn(rows: Iterable[tuple[str | None, int]], steps: int = STEPS, rate: float = RATE, shrink: float = SHRINK, least: int = LEAST) -> Model:
-    """Fit weights to (text, label) by full-batch gradient steps with soft thresholding; the same on each run."""
-    texts = [(bags(t), int(y)) for t, y in rows]
+    """Fit weights to (text, label) by full-batch gradient steps, two thirds of them with soft thresholding; the same on each run."""
+    texts = [(t, int(y)) for t, y in rows]
     y = np.array([label for _, label in texts], float)
     if not len(y) or y.min() == y.max():
         return Model({}, float(y.mean()) if len(y) else 0.0)
     frequency: Counter = Counter()
-    for found, _ in texts:
-        frequency.update({f for w in set().union(*found) for f in features(w)})
+    for text, _ in texts:
+        frequency.update({f for w in set().union(*bags(text)) for f in features(w)})
     kept = sorted((w for w, n in frequency.items() if n >= least), key=lambda w: (-frequency[w], w))[:KEPT]
     number = {w: i for i, w in enumerate(kept)}
-    word, sentence, doc = [], [], []
-    for d, (found, _) in enumerate(texts):
-        for bag in found:
-            word += (mine := sorted(number[f] for w in bag for f in features(w) if f in number))
-            sentence += [len(doc)] * len(mine)
+    word, sentence, doc = array("i"), array("i"), array("i")
+    del frequency
+    for d, (text, _) in enumerate(texts):
+        for bag in bags(text):
+            mine = sorted(number[f] for w in bag for f in features(w) if f in number)
+            word.extend(mine)
+            sentence.extend([len(doc)] * len(mine))
             doc.append(d)
-    word, sentence, doc = np.array(word, np.int64), np.array(sentence, np.int64), np.array(doc, np.int64)
+    word, sentence, doc = (np.frombuffer(x, np.int32) if len(x) else np.empty(0, np.int32) for x in (word, sentence, doc))
     w, n = np.zeros(len(kept)), len(y)
     leak = 0.02
-    m, v = np.zeros(len(kept)), np.zeros(len(kept))
+    m, v, held = np.zeros(len(kept)), np.zeros(len(kept)), np.ones(len(kept), bool)
     for step in range(1, steps + 1):
         z = BASE + np.bincount(sentence, w[word], len(doc))
         hidden = np.bincount(doc, np.logaddexp(0.0, z), n)
@@ -120,8 +123,12 @@ def learn(rows: Iterable[tuple[str | None, int]], steps: int = STEPS, rate: floa
         g = np.bincount(word, (slope[doc] / (1.0 + np.exp(-z)))[sentence], len(kept)) / n
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         pace = rate / (np.sqrt(v / (1 - 0.99**step)) + 1e-4)
-        w = w - pace * m / (1 - 0.9**step)
-        w = np.sign(w) * np.maximum(np.abs(w) - pace * shrink / n, 0.0)
+        if 3 * step < 2 * steps:
+            w = w - pace * m / (1 - 0.9**step)
+            w = np.sign(w) * np.maximum(np.abs(w) - pace * shrink / n, 0.0)
+            held = w != 0
+        else:  # what is left is fitted without shrinking
+            w = np.where(held, w - pace * m / (1 - 0.9**step), 0.0)
         # leak: labels 1 that no sentence explains, by expectation
         share = leak / np.maximum(1.0 - clean, 1e-9)
         leak = float(np.clip((share * y).sum() / n, 1e-4, 0.4))
