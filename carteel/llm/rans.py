@@ -287,8 +287,9 @@ def file_chunks(docs: Iterator[tuple[int, np.ndarray]], table: Table, layout: La
 
 
 def token_rows(docs: DataFrame, tokenizer: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, width, ids): ids of each whole text and the end id, as little-endian integers of ``width``
-    bytes: 2, or 4 throughout for vocabularies of more than 65,536 ids."""
+    """(counts, doc_id, n_tokens, width, ids): ids of each whole text and the end id, as little-endian integers of ``width``
+    bytes: 2, or 4 throughout for vocabularies of more than 65,536 ids.  Each task's last row, with counts = 1, holds how
+    often each id came, as 64-bit integers."""
 
     def run(parts):
         import pyarrow as pa
@@ -297,15 +298,20 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int, id_column: str = "d
         if tok.vocab_size > 1 << 16 or end_id >= 1 << 16:
             tok = ChunkTokenizer.shared(tokenizer, "spaced", "<u4")
         end = np.array([end_id], tok.dtype).tobytes()
-        wide = tok.dtype.itemsize
+        wide, counts = tok.dtype.itemsize, np.zeros(max(tok.vocab_size, end_id + 1), np.int64)
+        names = ["counts", "doc_id", "n_tokens", "width", "ids"]
         for batch in parts:
             texts = texts_of(batch.column(1))
             for a, b in batches(texts):
                 ids = [x + end for x in tok.encode(texts.slice(a, b - a))]
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([len(x) // wide for x in ids], pa.int64()), pa.array([wide] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "width", "ids"])
+                counts += np.bincount(_array(b"".join(ids), wide), minlength=len(counts))
+                n = len(ids)
+                yield pa.record_batch([pa.array([0] * n, pa.int32()), batch.column(0).slice(a, n), pa.array([len(x) // wide for x in ids], pa.int64()), pa.array([wide] * n, pa.int32()), pa.array(ids, pa.binary())], names=names)
+        if counts.any():
+            yield pa.record_batch([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([int(counts.sum())]), pa.array([8], pa.int32()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=names)
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, width int, ids binary")
+    return rows.mapInArrow(run, "counts int, doc_id long, n_tokens long, width int, ids binary")
 
 
 def _array(ids: bytes, width: int) -> np.ndarray:
@@ -313,21 +319,18 @@ def _array(ids: bytes, width: int) -> np.ndarray:
 
 
 def token_counts(rows: DataFrame) -> np.ndarray:
-    """How often each id occurs in all rows.  Each task sums its rows first; the driver gets a number for each id of the vocabulary."""
+    """How often each id occurs, from the rows with counts = 1, added up in Spark; the driver gets a number for each id of the vocabulary."""
 
     def run(parts):
         import pyarrow as pa
 
-        counts = np.zeros(0, np.int64)
         for batch in parts:
-            if batch.num_rows:
-                got = np.bincount(_array(b"".join(batch.column(0).to_pylist()), batch.column(1)[0].as_py()), minlength=len(counts))
-                got[: len(counts)] += counts
-                counts = got
-        used = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["id", "n"])
-
-    found = rows.select("ids", "width").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+            for data in batch.column(0):
+                counts = np.frombuffer(data.as_buffer(), "<i8")
+                used = np.flatnonzero(counts)
+                yield pa.record_batch([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["id", "n"])
+
+    found = rows.filter("counts = 1").select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in found), default=-1) + 1, np.int64)
     for r in found:
         counts[r.id] = r.n
@@ -364,7 +367,7 @@ def write_ids(rows: DataFrame, folder: str, layout: Layout = Layout()) -> DataFr
         size = write_file(path, file_chunks(all_docs(), Table.load(packed), layout, told))
         yield pa.record_batch([[no], [path], [told["n_docs"]], [told["n_tokens"]], [size]], names=["file_no", "path", "n_docs", "n_tokens", "n_bytes"])
 
-    ordered = rows.select("doc_id", "ids", "width").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = rows.filter("counts = 0").select("doc_id", "ids", "width").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     manifest = written(ordered.mapInArrow(run, "file_no long, path string, n_docs long, n_tokens long, n_bytes long"), folder, "manifest")
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return manifest.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -409,5 +412,5 @@ def encode_corpus(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
     columns aren't read.  An empty table gives no row and no file."""
     spark = docs.sparkSession
     folder = workspace(spark, "rans")
-    rows = written(token_rows(docs, tokenizer, end_id), folder, "tokens")
+    rows = written(token_rows(docs, tokenizer, end_id), folder, "tokens", by=("counts",))
     return read_ids(write_ids(rows, folder, layout), folder)

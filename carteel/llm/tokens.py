@@ -90,33 +90,38 @@ class ChunkTokenizer:
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        if word.isascii() and " " not in word[1:]:
-            signs = SPACE + word[1:] if word[0] == " " else word
-        else:
+    def _word(self, word: str, signs: str | None = None) -> bytes:
+        """Ids of one of the tokenizer's words; ``signs``: the same with a sign for each byte."""
+        if signs is None:
             signs = word.encode().decode("latin-1").translate(SIGNS)
-        ids = b"".join([self._bytes[t.id] for t in self._tokenize(signs)])
-        if len(self._words) >= CHUNKS_KEPT:
-            self._words.clear()
-        self._words[word] = ids
+        bytes_of = self._bytes
+        ids = self._words[word] = b"".join([bytes_of[t.id] for t in self._tokenize(signs)])
         return ids
 
     def _learn(self, table: dict, chunks, lead: str) -> None:
         """Enter the ids of ``lead + chunk``; None for chunks that can't be cut off from their neighbours."""
         rest, plain, words, cut, word = [], self._plain, self._words, self._cut, self._word
+        if len(words) + len(chunks) > CHUNKS_KEPT:
+            words.clear()
         get, lower = words.get, self.kind == "bare"
+        front = SPACE if lead else ""
         for chunk in chunks:
-            if cut is None or not (chunk.isascii() and chunk.isalpha() or plain(chunk)):
+            if cut is None:
                 rest.append(chunk)
                 continue
             whole = chunk.lower() if lower else lead + chunk
-            if chunk.isalpha():
-                table[chunk] = get(whole) or word(whole)
-            elif chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():
-                body, tail = whole[:-1], whole[-1]
-                table[chunk] = (get(body) or word(body)) + (get(tail) or word(tail))
-            else:
+            if chunk.isascii():
+                if chunk.isalpha():
+                    table[chunk] = get(whole) or word(whole, whole if lower else front + chunk)
+                    continue
+                if chunk and chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():
+                    body, tail = whole[:-1], whole[-1]
+                    table[chunk] = (get(body) or word(body, body if lower else front + chunk[:-1])) + (get(tail) or word(tail))
+                    continue
+            if plain(chunk):
                 table[chunk] = b"".join([get(w) or word(w) for w in cut(whole)])
+            else:
+                rest.append(chunk)
         if rest:
             got = self.tokenizer.encode_batch_fast([lead + c for c in rest], add_special_tokens=False)
             for chunk, enc in zip(rest, got, strict=True):
