@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ def located(found: DataFrame, wanted: DataFrame) -> DataFrame:
 def inputs(files: DataFrame) -> DataFrame:
     """(folder_path, image, mode): a folder with an image, the best of its images, and ``auto`` where a world file is beside it, else ``bootstrap``."""
     rows = files.withColumn("folder_path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
-    rank = _rank(F.col("extension"), IMAGES[:4])
+    rank = _rank(F.col("extension"), IMAGES)
     got = rows.groupBy("folder_path").agg(F.min_by(F.when(rank > 0, F.col("path")), F.when(rank > 0, F.struct(rank, F.col("path")))).alias("image"), F.max(F.col("extension").isin(*KINDS["tfwx"])).alias("_world"))
     return got.filter("image IS NOT NULL").select("folder_path", "image", F.when(F.col("_world"), "auto").otherwise("bootstrap").alias("mode"))
 
@@ -86,8 +87,6 @@ def read_images(spark: SparkSession, *paths: str) -> DataFrame:
 
 def image_sizes(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, width, height, dpi) from the headers of PNG, JPEG and TIFF files; nulls where they aren't told."""
-    import pandas as pd
-
     @F.pandas_udf("struct<width: int, height: int, dpi: double>")
     def header(content: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([image_header(c) for c in content], columns=["width", "height", "dpi"])

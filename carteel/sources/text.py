@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _number(c: Column) -> Column:
@@ -40,7 +41,7 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def read_world_files(spark: SparkSession, path: str) -> DataFrame:
@@ -114,7 +115,7 @@ def read_aux_gcps(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", _map_id(F.col("path")).alias("map_id"), "i", at("_s", i * 2 - 2).alias("source_x"), at("_s", i * 2 - 1).alias("source_y"), at("_t", i * 2 - 2).alias("target_x"), at("_t", i * 2 - 1).alias("target_y"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def well_formed(text: pd.Series) -> pd.Series:
     """The text if an XML parser takes it, else null: XPath functions raise on anything else."""
     from xml.etree import ElementTree
