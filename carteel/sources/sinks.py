@@ -9,13 +9,13 @@ DETECTION = ("name", "confidence", "method", "pixel_x", "pixel_y", "easting_6991
 
 
 def world_file_text() -> Column:
-    """The six lines of a world file."""
-    return F.concat_ws("\n", *[F.format_string("%.10f", F.col(c)) for c in "abcd"], *[F.format_string("%.6f", F.col(c)) for c in "ef"], F.lit(""))
+    """The six lines of a world file, without the last line's end."""
+    return F.concat_ws("\n", *[F.format_string("%.10f", F.col(c)) for c in "abcd"], *[F.format_string("%.6f", F.col(c)) for c in "ef"])
 
 
 def write_world_files(transforms: DataFrame, path: str) -> None:
     """One folder ``map_id=...`` for each map with the text of its world file."""
-    transforms.select("map_id", world_file_text().alias("value")).write.mode("overwrite").option("lineSep", "").partitionBy("map_id").text(path)
+    transforms.select("map_id", world_file_text().alias("value")).write.mode("overwrite").partitionBy("map_id").text(path)
 
 
 def detection_rows(detections: DataFrame) -> DataFrame:
