@@ -146,6 +146,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1,
                     if have >= span:
                         yield from packed(doc_ids, ids)
                         doc_ids, ids, have = [], [], 0
+        tok.forget()
         if ids:
             yield from packed(doc_ids, ids)
 

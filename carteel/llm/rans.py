@@ -307,6 +307,7 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int, id_column: str = "d
                 counts += np.bincount(_array(b"".join(ids), wide), minlength=len(counts))
                 n = len(ids)
                 yield pa.record_batch([pa.array([0] * n, pa.int32()), batch.column(0).slice(a, n), pa.array([len(x) // wide for x in ids], pa.int64()), pa.array([wide] * n, pa.int32()), pa.array(ids, pa.binary())], names=names)
+        tok.forget()
         if counts.any():
             yield pa.record_batch([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([int(counts.sum())]), pa.array([8], pa.int32()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=names)
 

@@ -1,7 +1,7 @@
 """Token ids of whole texts by a public tokenizer file, a chunk at a time.
 
-Natural text repeats its words, so each process keeps the ids of the chunks it
-has met.  A text is cut only where the tokenizer itself always cuts, so the ids
+Natural text repeats its words, so each task keeps the ids of the chunks it has
+met.  A text is cut only where the tokenizer itself always cuts, so the ids
 equal those of one call over the whole text; texts with white space in unusual
 places are encoded by such a call.
 """
@@ -16,8 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Chunks that a process keeps; a full table is emptied and refills with the frequent ones.
-CHUNKS_KEPT = 500_000
+#: Chunks that a task keeps; a full table is emptied and refills with the frequent ones.
+CHUNKS_KEPT = 400_000
 
 #: Chunks of these characters (less those that begin a special token) are cut into the tokenizer's words here and only
 #: looked up in its model; others go through all of it.
@@ -87,6 +87,11 @@ class ChunkTokenizer:
             _OPEN[key] = cls(path, kind, dtype)
         return _OPEN[key]
 
+    def forget(self) -> None:
+        """Give back the memory of all kept chunks: at the end of a task, as a worker may do other work next."""
+        self._heads, self._chunks, self._words = {}, {}, {}
+        pa.default_memory_pool().release_unused()
+
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
@@ -180,7 +185,7 @@ class ChunkTokenizer:
         return self._heads[chunk]
 
 
-def batches(texts, limit: int = 1 << 24):
+def batches(texts, limit: int = 1 << 23):
     """Slices (first, stop) of an Arrow array of strings with about ``limit`` bytes each; a longer text has one of its own."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     first, size = 0, 0

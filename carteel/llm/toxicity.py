@@ -26,8 +26,8 @@ SAMPLE, SAMPLE_CHARS = 4000, 20_000
 LEAST, KEPT = 3, 60_000
 #: Lengths of the beginnings of words.
 STEMS = (4, 5, 6, 7)
-#: Words whose weight a process keeps.
-WORDS_KEPT = 400_000
+#: Words whose weight a task keeps.
+WORDS_KEPT = 150_000
 #: log-odds of a sentence without weighted words.
 BASE = -9.0
 STEPS, RATE, SHRINK = 120, 0.2, 0.05
