@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Chunks that a task keeps; a full table is emptied and refills with the frequent ones.
-CHUNKS_KEPT = 400_000
+CHUNKS_KEPT = 600_000
 
 #: Chunks of these characters (less those that begin a special token) are cut into the tokenizer's words here and only
 #: looked up in its model; others go through all of it.
