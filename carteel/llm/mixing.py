@@ -24,8 +24,6 @@ CAP = 3
 #: Blocks of a source at most; a power of two.
 BLOCKS = 4096
 SHARDS = 16
-#: The part of a pass ends with those of the next so many documents that still fit.
-CLOSERS = 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -131,6 +129,46 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> Data
     return tree.select(F.col("node").alias("shard"), F.explode("q").alias("e")).select(F.col("e.key").alias("_key"), "shard", F.col("e.n").alias("quota")).filter("quota > 0")
 
 
+def _partial(placed: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The part of a pass: (_key, _spans) and (_key, _over), from rows (_key, _block, size, _end, _rest).
+
+    Each source is filled in order; a document that doesn't fit what is left is
+    skipped, and filling goes on over all the rest of the source.  A round takes
+    what comes before the next such document by prefix sums over blocks, then
+    inside the block where they pass what is left, and keeps only the rows
+    behind it that still fit, until a source has none.  A span (from, to, left)
+    stands for the rows that end in (from, to] and have at most ``left`` words.
+    ``_over`` is the end of one more document that overshoots, if that comes
+    nearer to the target.  A row with words is alone at its end of the source."""
+    some = placed.filter((F.col("size") > 0) & (F.col("_rest") > 0)).select("_key", "_block", "size", "_end", "_rest")
+    state = some.groupBy("_key").agg(F.max("_rest").alias("_rest"), F.coalesce(F.max(F.when(F.col("_end") <= F.col("_rest"), F.col("_end"))), F.lit(0)).alias("_to"))
+    first = F.struct(F.lit(0).cast("long").alias("from"), F.col("_to").alias("to"), F.col("_rest").alias("left"))
+    state = written(state.select("_key", "_to", (F.col("_rest") - F.col("_to")).alias("_left"), F.array(first).alias("_spans")), folder, "part-0")
+    rows, k = some.drop("_rest"), 0
+    while True:
+        k += 1
+        fits = rows.join(state.select("_key", "_to", "_left"), "_key").filter((F.col("_end") > F.col("_to")) & (F.col("size") <= F.col("_left")))
+        rows = written(fits.select("_key", "_block", "size", "_end", "_left"), folder, f"fits-{k}")
+        if rows.isEmpty():
+            break
+        blocks = rows.groupBy("_key", "_block").agg(F.sum("size").alias("_words"), F.max("_end").alias("_last"), F.first("_left").alias("_left"))
+        run = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+        blocks = written(blocks.withColumn("_sum", F.sum("_words").over(run)), folder, f"sums-{k}")  # BLOCKS rows a source at most
+        whole = blocks.filter(F.col("_sum") <= F.col("_left")).select("_key", F.col("_last").alias("_to"), F.col("_sum").alias("_used"))
+        cut = blocks.filter((F.col("_sum") > F.col("_left")) & (F.col("_sum") - F.col("_words") <= F.col("_left"))).select("_key", "_block", (F.col("_sum") - F.col("_words")).alias("_used"))
+        inner = Window.partitionBy("_key").orderBy("_end").rowsBetween(Window.unboundedPreceding, 0)
+        parts = rows.join(cut, ["_key", "_block"]).withColumn("_used", F.col("_used") + F.sum("size").over(inner)).filter(F.col("_used") <= F.col("_left"))
+        step = whole.unionByName(parts.select("_key", F.col("_end").alias("_to"), "_used")).groupBy("_key").agg(F.max("_to").alias("_next"), F.max("_used").alias("_used"))
+        span = F.struct(F.col("_to").alias("from"), F.col("_next").alias("to"), F.col("_left").alias("left"))
+        moved = state.join(step, "_key", "left").select("_key", F.coalesce("_next", "_to").alias("_to"), (F.col("_left") - F.coalesce("_used", F.lit(0))).alias("_left"), F.when(F.col("_next").isNull(), F.col("_spans")).otherwise(F.array_append("_spans", span)).alias("_spans"))
+        state = written(moved, folder, f"part-{k}")
+        rows = rows.drop("_left")
+    # what isn't taken has more words than are left
+    after = some.join(state, "_key").filter((F.col("_left") > 0) & (F.col("size") > F.col("_left")) & (F.col("size") < 2 * F.col("_left")))
+    after = after.filter(~F.exists("_spans", lambda e: (F.col("_end") > e["from"]) & (F.col("_end") <= e["to"]) & (F.col("size") <= e["left"])))
+    return state.select("_key", "_spans"), after.groupBy("_key").agg(F.min(F.struct("size", "_end"))["_end"].alias("_over"))
+
+
 def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     """What the mix takes of every row: doc_id, size, source_size, target, taken, copies, _key, _text.
 
@@ -140,34 +178,24 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = C
     taken each.  Documents are taken whole.  Equal inputs give equal plans."""
     folder = workspace(docs.sparkSession, "mix")
     rows = written(_sized(docs, seed), folder, "sizes")
-    blocks = rows.groupBy("_key", "_block").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
+    blocks = rows.groupBy("_key", "_block").agg(F.sum("size").alias("words"))
     blocks = written(blocks, folder, "blocks")  # BLOCKS rows a source at most
-    sources = blocks.groupBy("_key").agg(F.sum("words").alias("source_size"), F.sum("docs").alias("docs"))
-    wanted = targets(sources.select("_key", "source_size"), weights, cap).join(sources.select("_key", "docs"), "_key")
+    sources = blocks.groupBy("_key").agg(F.sum("words").alias("source_size"))
+    wanted = targets(sources, weights, cap)
     quota = F.round("target").cast("long")
     empty = F.col("source_size") == 0
-    wanted = wanted.select("_key", "source_size", "target", F.when(empty, 0).otherwise(F.floor(quota / F.greatest("source_size", F.lit(1)))).cast("long").alias("_passes"), F.when(empty, 0).otherwise(quota % F.greatest("source_size", F.lit(1))).cast("long").alias("_rest"), (F.col("source_size") / F.col("docs")).alias("_mean"))
+    wanted = wanted.select("_key", "source_size", "target", F.when(empty, 0).otherwise(F.floor(quota / F.greatest("source_size", F.lit(1)))).cast("long").alias("_passes"), F.when(empty, 0).otherwise(quota % F.greatest("source_size", F.lit(1))).cast("long").alias("_rest"))
     wanted = written(wanted, folder, "targets")
     start = F.coalesce(F.sum("words").over(Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = blocks.select("_key", "_block", start.alias("_start")).join(wanted, "_key")
     inside = Window.partitionBy("_key", "_block").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.join(starts, ["_key", "_block"]).withColumn("_end", F.col("_start") + F.sum("size").over(inside)).drop("_start")
-    placed = written(placed.withColumn("_first", F.col("_end") <= F.col("_rest")), folder, "placed")
-
-    # the documents right after the part of a pass: a few of each source, found by their place
-    near = placed.filter(~F.col("_first") & (F.col("size") > 0) & (F.col("_rest") > 0) & (F.col("_end") - F.col("size") <= F.col("_rest") + 2 * CLOSERS * F.col("_mean")))
-    near = near.withColumn("_k", F.row_number().over(Window.partitionBy("_key").orderBy("_end"))).filter(F.col("_k") <= CLOSERS)
-    listed = near.groupBy("_key").agg(F.first("_rest").alias("_rest"), F.array_sort(F.collect_list(F.struct("_end", "size"))).alias("_next"))
-    begin = F.struct((F.col("_rest") - (F.element_at("_next", 1)["_end"] - F.element_at("_next", 1)["size"])).alias("left"), F.expr("cast(array() as array<bigint>)").alias("ends"))
-    fitting = F.aggregate("_next", begin, lambda a, e: F.when(e["size"] <= a["left"], F.struct((a["left"] - e["size"]).alias("left"), F.array_append(a["ends"], e["_end"]).alias("ends"))).otherwise(a))
-    # and one more that overshoots, if that ends nearer to the target
-    listed = listed.withColumn("_fit", fitting)
-    over = F.array_min(F.transform(F.filter("_next", lambda e: ~F.array_contains(F.col("_fit.ends"), e["_end"])), lambda e: F.struct((e["size"] - F.col("_fit.left")).alias("by"), e["_end"].alias("end"))))
-    ends = F.when(over["by"] < F.col("_fit.left"), F.array_append(F.col("_fit.ends"), over["end"])).otherwise(F.col("_fit.ends"))
-    closers = listed.select("_key", F.explode(ends).alias("_end"), F.lit(True).alias("_close"))
-    # a row with words is alone at its end of the source; rows without words may share it
-    part = (F.col("_first") | F.coalesce(F.col("_close"), F.lit(False))) & (F.col("size") > 0)
-    taken = placed.join(closers, ["_key", "_end"], "left").withColumn("_part", part).drop("_first", "_close", "_end", "_rest", "_mean")
+    placed = written(placed, folder, "placed")
+
+    spans, over = _partial(placed, folder)
+    inside_span = F.exists("_spans", lambda e: (F.col("_end") > e["from"]) & (F.col("_end") <= e["to"]) & (F.col("size") <= e["left"]))
+    part = (F.coalesce(inside_span, F.lit(False)) | F.coalesce(F.col("_end") == F.col("_over"), F.lit(False))) & (F.col("size") > 0)
+    taken = placed.join(spans, "_key", "left").join(over, "_key", "left").withColumn("_part", part).drop("_spans", "_over", "_end", "_rest")
     taken = written(taken, folder, "taken")
 
     passes = F.when(F.col("_passes") > 0, F.sequence(F.lit(1).cast("long"), F.col("_passes"))).otherwise(F.expr("cast(array() as array<bigint>)"))

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import math
+import random
 import re
 from fractions import Fraction
 
@@ -87,6 +88,41 @@ def test_mix_of_awkward_rows(docs, clashing):
     assert mixing.plan_mix(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.filter("doc_id = 4")).count() == 0
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_mix_fills_around_a_long_document(spark, seed):
+    rows = [(i, "w " * (5 + i % 11), "a") for i in range(1500)] + [(1500 + i, "w " * (9_000 + 1000 * i), "a") for i in range(3)] + [(2000 + i, "w " * 50, "b") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    plan = mixing.plan_mix(df, weights=(1.0, 3.0), seed=seed).collect()
+    for s in ("a", "b"):
+        mine = [r for r in plan if r._key == "a" + s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= (1 if s == "a" else 25)
+
+
+def test_partial_pass_is_a_greedy_fill(spark):
+    draw = random.Random(5)
+    sizes = {k: [draw.choice([1, 7, 40, 300, 2000, 9000]) + draw.randrange(20) for _ in range(600)] for k in "abcd"}
+    rows, want, extra = [], {}, {}
+    for k, ns in sizes.items():
+        rest, end, left, got, out = sum(ns) * "abcd".index(k) // 5 + 11, 0, None, set(), []
+        left = rest
+        for i, n in enumerate(ns):
+            end += n
+            rows.append((k, i // 50, n, end, rest))
+            if n <= left:
+                left -= n
+                got.add(end)
+            else:
+                out.append((n, end))
+        want[k] = got
+        extra[k] = min(out)[1] if min(out)[0] - left < left else None
+    df = spark.createDataFrame(rows, "_key string, _block int, size long, _end long, _rest long")
+    spans, over = mixing._partial(df, workspace(spark, "test"))
+    spans = {r._key: r._spans for r in spans.collect()}
+    assert {k: {e for x, _, n, e, _ in rows if x == k and any(s["from"] < e <= s["to"] and n <= s["left"] for s in spans[k])} for k in want} == want
+    found = {r._key: r._over for r in over.collect()}
+    assert {k: found.get(k) for k in want} == extra
+
+
 PAGES = "page_id long, url string, html string"
 
 
