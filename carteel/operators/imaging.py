@@ -259,7 +259,7 @@ def strong_lines(profile: DataFrame, sizes: DataFrame, share: float = 0.65) -> D
     return profile.join(sizes, "map_id").filter(F.col("n") > span * share).select("map_id", "axis", "pos")
 
 
-def verify_candidates(points: DataFrame, transforms: DataFrame, sizes: DataFrame, tile_rows: DataFrame, templates: list[tuple[np.ndarray, float, float]], mode: str = "multi", half: int = 32, size: int = TILE) -> DataFrame:
+def verify_candidates(points: DataFrame, transforms: DataFrame, sizes: DataFrame, tile_rows: DataFrame, templates: list[tuple[np.ndarray, float, float]], mode: str = "multi", half: int = 40, size: int = TILE) -> DataFrame:
     """(map_id, pid, px, py, confidence, method): how well the symbol's templates match at each projected point.
 
     points: map_id, pid, x, y.  Points whose window leaves the image are left

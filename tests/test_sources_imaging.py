@@ -161,6 +161,18 @@ def test_symbols_in_a_sheet(spark):
     assert labels.neatline(lines, sizes).first()[1:] == (20, 255, 15, 399)
 
 
+def test_verification_reaches_far_symbols(spark):
+    sheet = np.full((200, 260), 230, np.uint8)
+    big = np.repeat(np.repeat(symbol(), 2, axis=0), 2, axis=1)
+    sheet[85:115, 135:165] = big
+    images = spark.createDataFrame([("m", 200, 260, 3, bytearray(np.repeat(sheet[..., None], 3, axis=2).tobytes()))], "map_id string, height int, width int, channels int, data binary")
+    sizes = spark.createDataFrame([("m", 260, 200)], "map_id string, width int, height int")
+    unit = spark.createDataFrame([("m", 1.0, 0.0, 0.0, 1.0, 0.0, 0.0)], "map_id string, a double, b double, c double, d double, e double, f double")
+    points = spark.createDataFrame([("m", 0, 130.0, 100.0), ("m", 1, 36.0, 100.0)], "map_id string, pid long, x double, y double")
+    got = {r.pid: r for r in imaging.verify_candidates(points, unit, sizes, imaging.tiles(images), [(big, 0.0, 0.0)], "suppress_red").collect()}
+    assert set(got) == {0} and got[0].confidence > 0.9
+
+
 def test_bootstrap_of_a_made_up_sheet(spark):
     px, col, row = 1183, 891, 934
     read = [("m", "top", i, float(col + i * px), 140 + i, 0.9) for i in range(11)] + [("m", "left", 100 + i, float(row + i * px), 130 - i, 0.9) for i in range(11)]
