@@ -129,6 +129,18 @@ def test_pixel_functions():
     assert imaging.dot_centre(dot, 20, 20)[:2] == pytest.approx((21, 22)) and imaging.dot_centre(np.full((9, 9), 255, np.uint8), 4, 4)[2] is False
 
 
+def test_crop_sanity():
+    img = np.full((20, 20), 200, np.uint8)
+    img[8:12, 8:12] = 0  # 4 % dark, mean 192
+    assert imaging.crop_sanity(img) == pytest.approx(0.3 * 0.04 / 0.15 + 0.3 * (192 - 200 * 20 / 36) / 192 + 0.4)
+    side = np.full((20, 20), 200, np.uint8)
+    side[:, :3] = 0  # 15 % dark, all on the left: 60 of 200 differ
+    assert imaging.crop_sanity(side) == pytest.approx(0.3 + 0.4 * 0.7)
+    few, many = np.full((20, 20), 200, np.uint8), np.zeros((20, 20), np.uint8)
+    few[10, 5:15], many[:, :9] = 0, 200
+    assert imaging.crop_sanity(few) == imaging.crop_sanity(many) == imaging.crop_sanity(img[:9]) == 0.0
+
+
 def test_network_shape():
     net = imaging.Network.random()
     assert net.parameters() == 191_905
