@@ -53,6 +53,11 @@ def test_verdict(spark):
     assert all(r.kept != r.base_failed for r in none)
 
 
+def test_ngrams_ignore_case(spark):
+    row = spark.createDataFrame([("Een ÉTÉ, two THREE!", "een été, two three!")], "x string, y string")
+    assert row.select(quality.ngram_buckets(row["x"]) == quality.ngram_buckets(row["y"])).first()[0]
+
+
 def test_quality_of_awkward_rows(docs, clashing, spark):
     marks = spark.createDataFrame([(1, 1), (None, 1), (2, None), (1, 1)], "doc_id long, quality int")
     for table in (docs, clashing):
