@@ -16,18 +16,21 @@ from pyspark.sql import functions as F
 from ..functions import affine
 
 
-def affine_columns(px: Column, py: Column, x: Column, y: Column) -> dict[str, Column]:
-    """Aggregates for the six coefficients from centred moments; null for fewer than three points or collinear ones."""
-    sxx, syy, sxy = F.var_pop(px), F.var_pop(py), F.covar_pop(px, py)
+MOMENTS = {"n": "count(px)", "_mx": "avg(px)", "_my": "avg(py)", "_mu": "avg(x)", "_mv": "avg(y)", "_sxx": "var_pop(px)", "_syy": "var_pop(py)", "_sxy": "covar_pop(px, py)", "_suu": "var_pop(x)", "_svv": "var_pop(y)", "_ux": "covar_pop(px, x)", "_uy": "covar_pop(py, x)", "_vx": "covar_pop(px, y)", "_vy": "covar_pop(py, y)"}
+
+
+def _solved(moments: DataFrame) -> DataFrame:
+    """Adds the six coefficients to centred moments, null for fewer than three points or collinear ones."""
+    sxx, syy, sxy = (F.col(c) for c in ("_sxx", "_syy", "_sxy"))
     det = sxx * syy - sxy * sxy
-    sound = (F.count(px) >= 3) & (det > F.lit(1e-12) * sxx * syy) & (det > 0)
+    sound = moments.withColumn("_det", F.when((F.col("n") >= 3) & (det > F.lit(1e-12) * sxx * syy) & (det > 0), det))
+    mx, my, det = F.col("_mx"), F.col("_my"), F.col("_det")
     out: dict[str, Column] = {}
-    for target, (along, across, offset) in ((x, ("a", "c", "e")), (y, ("b", "d", "f"))):
-        u, v = F.covar_pop(px, target), F.covar_pop(py, target)
-        p, q = F.try_divide(u * syy - v * sxy, det), F.try_divide(v * sxx - u * sxy, det)
-        out[along], out[across] = F.when(sound, p), F.when(sound, q)
-        out[offset] = F.when(sound, F.avg(target) - p * F.avg(px) - q * F.avg(py))
-    return {n: out[n] for n in affine.NAMES}
+    for u, v, along, across in (("_ux", "_uy", "a", "c"), ("_vx", "_vy", "b", "d")):
+        out[along] = (F.col(u) * syy - F.col(v) * sxy) / det
+        out[across] = (F.col(v) * sxx - F.col(u) * sxy) / det
+    found = sound.withColumns(out)
+    return found.withColumns({"e": F.col("_mu") - F.col("a") * mx - F.col("c") * my, "f": F.col("_mv") - F.col("b") * mx - F.col("d") * my})
 
 
 def residual(t: dict[str, Column] | None = None) -> tuple[Column, Column]:
@@ -37,10 +40,9 @@ def residual(t: dict[str, Column] | None = None) -> tuple[Column, Column]:
 
 def _fits(rows: DataFrame, key: str) -> DataFrame:
     """A transform for each map from one aggregation, with ``_spread``: its radial RMSE from the same moments, good to about 1e-5 m."""
-    px, py, x, y = (F.col(c) for c in ("px", "py", "x", "y"))
-    cols = affine_columns(px, py, x, y)
-    left = F.var_pop(x) + F.var_pop(y) - cols["a"] * F.covar_pop(px, x) - cols["c"] * F.covar_pop(py, x) - cols["b"] * F.covar_pop(px, y) - cols["d"] * F.covar_pop(py, y)
-    return rows.groupBy(key).agg(*[c.alias(n) for n, c in cols.items()], F.count("px").alias("n"), F.sqrt(F.greatest(left, F.lit(0.0))).alias("_spread")).filter("a IS NOT NULL")
+    found = _solved(rows.groupBy(key).agg(*[F.expr(m).alias(c) for c, m in MOMENTS.items()])).filter("a IS NOT NULL")
+    left = F.col("_suu") + F.col("_svv") - F.col("a") * F.col("_ux") - F.col("c") * F.col("_uy") - F.col("b") * F.col("_vx") - F.col("d") * F.col("_vy")
+    return found.select(key, *affine.NAMES, "n", F.sqrt(F.greatest(left, F.lit(0.0))).alias("_spread"))
 
 
 def fit_affine(rows: DataFrame, key: str = "map_id") -> DataFrame:
@@ -49,11 +51,11 @@ def fit_affine(rows: DataFrame, key: str = "map_id") -> DataFrame:
 
 
 def with_errors(rows: DataFrame, fits: DataFrame, key: str = "map_id") -> DataFrame:
-    """Adds rmse_component_m, rmse_radial_m and max_error_m of the rows to their transforms."""
+    """Adds rmse_component_m, rmse_radial_m and max_error_m of the rows to their transforms; maps without rows go."""
     dx, dy = residual()
     square = dx * dx + dy * dy
-    errors = rows.join(fits, key).groupBy(key).agg(F.sqrt(F.avg(square) / 2).alias("rmse_component_m"), F.sqrt(F.avg(square)).alias("rmse_radial_m"), F.sqrt(F.max(square)).alias("max_error_m"))
-    return fits.join(errors, key)
+    graded = rows.select(key, "px", "py", "x", "y").join(fits, key).withColumn("_square", square)
+    return graded.groupBy(*fits.columns).agg(F.sqrt(F.avg("_square") / 2).alias("rmse_component_m"), F.sqrt(F.avg("_square")).alias("rmse_radial_m"), F.sqrt(F.max("_square")).alias("max_error_m"))
 
 
 def residuals(rows: DataFrame, fits: DataFrame, key: str = "map_id") -> DataFrame:
@@ -67,21 +69,22 @@ def trim_and_refit(rows: DataFrame, threshold: float = 15.0, factor: float = 2.0
 
     The result has n (rows of the map), n_inliers, and the errors of the final fit over the inliers.  ``rmse``: which error sets the threshold."""
     limit = F.greatest(F.lit(float(threshold)), F.col("_spread") * (factor if rmse == "rmse_radial_m" else factor / 2**0.5))
-    first = _fits(rows, key).withColumn("_limit", limit).drop("_spread")
-    dx, dy = residual()
+    first = _fits(rows, key).select(key, F.struct(*affine.NAMES).alias("_t"), F.col("n").alias("_all"), limit.alias("_limit"))
+    slim = rows.select(key, "px", "py", "x", "y")
+    dx, dy = residual({c: F.col(f"_t.{c}") for c in affine.NAMES})
     inside = F.hypot(dx, dy) < F.col("_limit")
-    kept = rows.join(first.select(key, *affine.NAMES, "_limit"), key).filter(inside)
-    second = _fits(kept.select(key, "px", "py", "x", "y"), key).select(key, F.struct(*affine.NAMES).alias("_t"), F.col("n").alias("_in"))
-    counted = kept.groupBy(key).agg(F.count(F.lit(1)).alias("_held"))
+    kept = slim.join(first, key).withColumn("_in", inside).select(key, "_t", "_all", "_limit", "_in", *[F.when(F.col("_in"), F.col(c)).alias(c) for c in ("px", "py", "x", "y")])
+    again = (F.col("n") >= 3) & (F.col("n") < F.col("_all"))
+    both = kept.groupBy(key, "_t", "_all", "_limit").agg(*[F.expr(m).alias(c) for c, m in MOMENTS.items()])
     # three or more inliers on a line have no fit of their own: such a map is left out
-    both = first.join(second, key, "left").join(counted, key, "left")
-    again = F.coalesce((F.col("_held") >= 3) & (F.col("_held") < F.col("n")), F.lit(False))
-    both = both.withColumn("_again", again).filter("NOT _again OR _t IS NOT NULL")
-    final = both.select(key, *[F.when(F.col("_again"), F.col(f"_t.{c}")).otherwise(F.col(c)).alias(c) for c in affine.NAMES], "n", F.when(F.coalesce("_held", F.lit(0)) < 3, F.col("n")).otherwise(F.col("_held")).alias("n_inliers"))
-    tests = both.select(key, *[F.col(c).alias(f"_{c}") for c in affine.NAMES], "_limit", "_again")
-    fx, fy = residual({c: F.col(f"_{c}") for c in affine.NAMES})
-    used = rows.join(tests, key).filter(~F.col("_again") | (F.hypot(fx, fy) < F.col("_limit"))).select(key, "px", "py", "x", "y")
-    return with_errors(used, final, key)
+    solved = _solved(both).withColumn("_again", again).filter("NOT _again OR a IS NOT NULL")
+    held = F.when(F.col("n") < 3, F.col("_all")).otherwise(F.col("n"))
+    final = solved.select(key, *[F.when(F.col("_again"), F.col(c)).otherwise(F.col(f"_t.{c}")).alias(c) for c in affine.NAMES], F.col("_all").alias("n"), held.alias("n_inliers"), "_t", "_limit", "_again")
+    used = slim.join(final, key).filter(~F.col("_again") | inside)
+    x, y = residual()
+    square = x * x + y * y
+    errors = [F.sqrt(F.avg("_square") / 2).alias("rmse_component_m"), F.sqrt(F.avg("_square")).alias("rmse_radial_m"), F.sqrt(F.max("_square")).alias("max_error_m")]
+    return used.withColumn("_square", square).groupBy(key, *affine.NAMES, "n", "n_inliers").agg(*errors)
 
 
 def fit_polynomial(rows: DataFrame, key: str = "map_id") -> DataFrame:

@@ -6,20 +6,19 @@ residual, so Spark can hash them; a plain theta join would compare all rows.
 
 from __future__ import annotations
 
+from math import hypot
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def box_join(points: DataFrame, boxes: DataFrame, x: str, y: str, margin: float = 0.0, bin_size: float | None = None, key: str = "map_id") -> DataFrame:
+def box_join(points: DataFrame, boxes: DataFrame, x: str, y: str, margin: float = 0.0, *, bin_size: float, key: str = "map_id") -> DataFrame:
     """Points inside each closed box (min_x, max_x, min_y, max_y) widened by ``margin``.
 
-    With ``bin_size`` a point has one bin and a box as many as it covers, and the
-    join is on bins: choose about a box's side.  Columns of both sides stay, the
-    boxes' bounds and the bins go."""
+    A point has one bin of side ``bin_size`` and a box as many as it covers, and
+    the join is on bins: choose about a box's side (``box_side`` measures it).
+    Columns of both sides stay, the boxes' bounds and the bins go."""
     inside = F.col(x).between(F.col("min_x") - margin, F.col("max_x") + margin) & F.col(y).between(F.col("min_y") - margin, F.col("max_y") + margin)
-    bounds = ["min_x", "max_x", "min_y", "max_y"]
-    if bin_size is None:
-        return points.join(boxes, inside).drop(*bounds)
 
     def cell(c: Column) -> Column:
         return F.floor(c / bin_size).cast("long")
@@ -30,7 +29,14 @@ def box_join(points: DataFrame, boxes: DataFrame, x: str, y: str, margin: float
     ok = boxes.filter((F.col("min_x") <= F.col("max_x") + 2 * margin) & (F.col("min_y") <= F.col("max_y") + 2 * margin))
     spread = ok.withColumn("_bx", cells("min_x", "max_x")).withColumn("_by", cells("min_y", "max_y"))
     binned = points.withColumn("_bx", cell(F.col(x))).withColumn("_by", cell(F.col(y)))
-    return binned.join(spread, ["_bx", "_by"]).filter(inside).drop("_bx", "_by", *bounds)
+    return binned.join(spread, ["_bx", "_by"]).filter(inside).drop("_bx", "_by", "min_x", "max_x", "min_y", "max_y")
+
+
+def box_side(boxes: DataFrame, margin: float = 0.0) -> float:
+    """A bin size for ``box_join``: the median of the boxes' longer sides with their margins, 1.0 where there is none.  One aggregation over the boxes."""
+    side = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")) + 2 * margin
+    found = boxes.agg(F.percentile_approx(side, 0.5)).first()[0]
+    return float(found) if found and found > 0 else 1.0
 
 
 def in_frame(px: Column, py: Column, half: Column, width: Column, height: Column) -> Column:
@@ -98,63 +104,41 @@ def near_any(candidates: DataFrame, truth: DataFrame, radius: float, anti: bool
     return candidates.join(hit, ["map_id", "id"], "left_anti" if anti else "left_semi")
 
 
-def _fold(order: list[str], x: str, y: str, carry: list[str], distance: Column, limit: Column | None, strict: bool) -> Column:
-    """Greedy choice over the collected rows of a group, by the order columns."""
-    row = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(x).alias("x"), F.col(y).alias("y"), F.struct(*carry).alias("row"))
-    rows = F.array_sort(F.collect_list(row))
-    kept = F.transform(rows, lambda r: F.struct(r["x"].alias("x"), r["y"].alias("y"), r["row"].alias("row")))
-    empty = F.filter(kept, lambda r: F.lit(False))
-
-    def step(acc: Column, r: Column) -> Column:
-        def close(k: Column) -> Column:
-            d = F.hypot(k["x"] - r["x"], k["y"] - r["y"])
-            return d <= distance if strict else d < distance
-
-        blocked = F.exists(acc, close)
-        if limit is not None:
-            blocked = (F.size(acc) >= limit) | blocked
-        return F.when(blocked, acc).otherwise(F.array_append(acc, r))
-
-    return F.aggregate(kept, empty, step)
-
-
 def select_spread(rows: DataFrame, order: list[str], carry: list[str], n: int | None = 15, distance: float = 200.0, strict: bool = False, key: str = "map_id") -> DataFrame:
     """Greedy thinning of each map: in the order of ``order`` (ascending; negate scores) a row stays if it is at
     least ``distance`` (more, if ``strict``) from all that stay, until ``n`` do.
 
-    rows have px, py.  Result: the key, ``pick`` (from 1) and the ``carry`` columns.
-    The fold runs in one task for each map: filter by confidence first."""
-    kept = _fold(order, "px", "py", carry, F.lit(float(distance)), None if n is None else F.lit(n), strict)
-    return rows.groupBy(key).agg(kept.alias("_kept")).select(key, F.posexplode("_kept").alias("_i", "_k")).select(key, (F.col("_i") + 1).alias("pick"), *[F.col(f"_k.row.{c}").alias(c) for c in carry])
-
-
-def suppress(rows: DataFrame, order: list[str], carry: list[str], distance: float = 20.0, key: str = "map_id", large: bool = False) -> DataFrame:
-    """Non-maximum suppression: rows in order, each dropped if strictly nearer than ``distance`` to one that stays.
-
-    ``large``: groups of many thousands, each in a grouped Arrow function with a
-    hash of cells instead of a fold over all that stay."""
-    if not large:
-        return select_spread(rows, order, carry, None, distance, key=key)
+    rows have px, py; a row without a position is left out.  Result: the key,
+    ``pick`` (from 1) and the ``carry`` columns.  A map's rows are in one task, as
+    Arrow columns of what is named here; what stays is kept by cells of side
+    ``distance``, so a row is compared with the few in the nine cells around it."""
     import pyarrow as pa
 
-    names = [key, "pick", *carry]
+    names = list(dict.fromkeys([key, "px", "py", *order, *carry]))
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {'int' if c == 'pick' else kinds[c]}" for c in names)
+    schema = ", ".join(f"`{c}` {'int' if c == 'pick' else kinds[c]}" for c in (key, "pick", *carry))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in order])
         cells: dict[tuple[int, int], list[tuple[float, float]]] = {}
-        keep = []
+        keep: list[int] = []
         for i, (x, y) in enumerate(zip(table["px"].to_pylist(), table["py"].to_pylist(), strict=True)):
+            if n is not None and len(keep) >= n:
+                break
             cx, cy = int(x // distance), int(y // distance)
             seen = (k for u in (cx - 1, cx, cx + 1) for v in (cy - 1, cy, cy + 1) for k in cells.get((u, v), ()))
-            if all((x - u) ** 2 + (y - v) ** 2 >= distance**2 for u, v in seen):
+            if all((hypot(x - u, y - v) > distance) if strict else (hypot(x - u, y - v) >= distance) for u, v in seen):
                 cells.setdefault((cx, cy), []).append((x, y))
                 keep.append(i)
         out = table.take(keep)
         return pa.table({key: out[key], "pick": pa.array(range(1, len(keep) + 1), pa.int32()), **{c: out[c] for c in carry}})
 
-    return rows.groupBy(key).applyInArrow(run, schema)
+    return rows.filter("px IS NOT NULL AND py IS NOT NULL").select(*names).groupBy(key).applyInArrow(run, schema)
+
+
+def suppress(rows: DataFrame, order: list[str], carry: list[str], distance: float = 20.0, key: str = "map_id") -> DataFrame:
+    """Non-maximum suppression: rows in order, each dropped if strictly nearer than ``distance`` to one that stays."""
+    return select_spread(rows, order, carry, None, distance, key=key)
 
 
 def thin_new(candidates: DataFrame, existing: DataFrame, radius: float = 10.0) -> DataFrame:

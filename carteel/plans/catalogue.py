@@ -11,6 +11,7 @@ from ..functions import affine, buckets, names
 from ..functions import labels as label_functions
 from ..operators import dataset, evaluate, fit, labels, spatial
 from ..sources import sinks
+from .pipelines import settled
 from .views import table, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,7 +233,8 @@ _BOX = "FROM v_geo g JOIN v_extent e ON {x} BETWEEN e.min_x - {m} AND e.max_x +
 
 @query("j1_range_join", "SELECT e.map_id, g.pid " + _BOX.format(x="g.easting", y="g.northing", m=200))
 def j1(spark, sf):
-    return spatial.box_join(view(spark, sf, "v_geo"), view(spark, sf, "v_extent"), "easting", "northing", 200).select("map_id", "pid")
+    boxes = view(spark, sf, "v_extent")
+    return spatial.box_join(view(spark, sf, "v_geo"), boxes, "easting", "northing", 200, bin_size=spatial.box_side(boxes, 200)).select("map_id", "pid")
 
 
 @query("j1_range_join_binned", "SELECT e.map_id, g.pid " + _BOX.format(x="g.easting", y="g.northing", m=200))
@@ -370,20 +372,20 @@ _SPREAD = """SELECT map_id, unnest(range(1, len(kept) + 1)) AS pick, unnest(kept
 _PICKS = "SELECT map_id, pick AS id, k.px AS px, k.py AS py, k.x AS x, k.y AS y, k.k1 AS k1, k.k2 AS k2, k.k3 AS k3, k.k4 AS k4 FROM (" + _SPREAD.format(n=15, d="200") + ")"
 
 
-def _picked(spark, sf, n: int | None = 15, distance: float = 200.0) -> DataFrame:
+def _picked(spark, sf, carry: tuple[str, ...] = ("px", "py", "x", "y"), n: int | None = 15, distance: float = 200.0) -> DataFrame:
     rows = view(spark, sf, "v_obs").filter("confidence >= 0.5").withColumn("down", -F.col("confidence"))
-    return spatial.select_spread(rows, ["down", "k1", "k2", "k3", "k4"], ["px", "py", "x", "y", "k1", "k2", "k3", "k4"], n, distance)
+    return spatial.select_spread(rows, ["down", "k1", "k2", "k3", "k4"], list(carry), n, distance)
 
 
 @query("t2_greedy_select", f"SELECT map_id, CAST(id AS INTEGER) AS pick, k1, k2, k3, k4 FROM ({_PICKS})")
 def t2(spark, sf):
-    return _picked(spark, sf).select("map_id", "pick", "k1", "k2", "k3", "k4")
+    return _picked(spark, sf, ("k1", "k2", "k3", "k4"))
 
 
 @query("t3_grid_nms", "SELECT map_id, CAST(pick AS INTEGER) AS pick, k.k1 AS k1, k.k2 AS k2, k.k3 AS k3, k.k4 AS k4 FROM (" + _SPREAD.format(n=1000000, d="1000") + ")")
 def t3(spark, sf):
     rows = view(spark, sf, "v_obs").filter("confidence >= 0.5").withColumn("down", -F.col("confidence"))
-    return spatial.suppress(rows, ["down", "k1", "k2", "k3", "k4"], ["k1", "k2", "k3", "k4"], 1000.0, large=True)
+    return spatial.suppress(rows, ["down", "k1", "k2", "k3", "k4"], ["k1", "k2", "k3", "k4"], 1000.0)
 
 
 _TRIPLE = """SELECT i.map_id, i.id AS i, j.id AS j, k.id AS k, {cols} FROM p i JOIN p j ON i.map_id = j.map_id AND i.id < j.id JOIN p k ON i.map_id = k.map_id AND j.id < k.id
@@ -402,7 +404,7 @@ _T3 = ", ".join(
     f"SELECT o.map_id, count(*) AS n_inliers, sum(o.id)::BIGINT AS ids FROM best JOIN t ON t.map_id = best.map_id AND t.i = best.i AND t.j = best.j AND t.k = best.k JOIN p o ON o.map_id = t.map_id WHERE {_ERR} < 5 GROUP BY 1",
 )
 def a4(spark, sf):
-    picks = _picked(spark, sf).withColumnRenamed("pick", "id").select("map_id", "id", "px", "py", "x", "y")
+    picks = settled(_picked(spark, sf).withColumnRenamed("pick", "id"))
     return fit.consensus_affine(picks, threshold=5.0).groupBy("map_id").agg(F.count(F.lit(1)).alias("n_inliers"), F.sum("id").alias("ids"))
 
 
@@ -595,7 +597,7 @@ def k1(spark, sf):
 
 def slice_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confident, well-distributed points of each map, their transform without outliers, and how good it is."""
-    picks = _picked(spark, sf_dir, 50).select("map_id", "px", "py", "x", "y")
+    picks = settled(_picked(spark, sf_dir, n=50).drop("pick"))  # at most 50 rows a map, used five times
     return rounded(fit.trim_and_refit(picks), 6)
 
 

@@ -19,11 +19,14 @@ from ..operators import evaluate, fit, labels, spatial
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared folder of ``spark.checkpoint.dir`` (a temporary one where that is unset): later
-    steps neither compute nor plan it again, and no lost executor takes it along."""
+    """``df`` computed once and written to the shared folder of ``spark.checkpoint.dir``: later steps neither compute nor plan it again,
+    and no lost executor takes it along.  Where that is unset, a local session gets a temporary folder, a cluster an error."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="carteel-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="carteel-"))
     return df.checkpoint()
 
 
@@ -74,7 +77,7 @@ def bootstrap(readings: DataFrame, neatlines: DataFrame, files: DataFrame, point
     grid = labels.grid_points(used, sound, neatlines)
     old = fit.fit_affine(grid.select("map_id", F.col("pixel_x").alias("px"), F.col("pixel_y").alias("py"), F.col("old_n").alias("x"), F.col("old_e").alias("y")))
     extent = labels.label_extent(used).select("map_id", F.col("old_n_min").alias("min_x"), F.col("old_n_max").alias("max_x"), F.col("old_e_min").alias("min_y"), F.col("old_e_max").alias("max_y"))
-    near = spatial.box_join(points, extent, "old_n", "old_e", margin, bin_size)
+    near = spatial.box_join(points, extent, "old_n", "old_e", margin, bin_size=bin_size)
     px, py = affine.map_to_pixel(F.col("old_n"), F.col("old_e"))
     candidates = near.join(old.select("map_id", *affine.NAMES), "map_id").select("map_id", "pid", px.alias("px"), py.alias("py"))
     candidates = settled(candidates)
@@ -88,7 +91,7 @@ def bootstrap(readings: DataFrame, neatlines: DataFrame, files: DataFrame, point
 def select_and_fit(found: DataFrame, n: int = 50, least: float = 0.5, distance: float = 200.0) -> DataFrame:
     """Confident, well-distributed detections (map_id, pid, px, py, x, y, confidence) of each map, fitted, trimmed, and fitted again."""
     rows = found.filter(F.col("confidence") >= least).withColumn("_down", -F.col("confidence"))
-    return fit.trim_and_refit(spatial.select_spread(rows, ["_down", "pid"], ["pid", "px", "py", "x", "y"], n, distance))
+    return fit.trim_and_refit(settled(spatial.select_spread(rows, ["_down", "pid"], ["pid", "px", "py", "x", "y"], n, distance)))
 
 
 def refit_check(found: DataFrame, truth: DataFrame, n: int = 50, least: float = 0.5, distance: float = 200.0) -> DataFrame:
@@ -96,7 +99,7 @@ def refit_check(found: DataFrame, truth: DataFrame, n: int = 50, least: float =
 
     The detections were found with the georeference itself, so this is no blind accuracy."""
     rows = found.filter(F.col("confidence") >= least).withColumn("_down", -F.col("confidence"))
-    picks = spatial.select_spread(rows, ["_down", "pid"], ["pid", "px", "py", "x", "y"], n, distance).withColumnRenamed("pick", "id")
+    picks = settled(spatial.select_spread(rows, ["_down", "pid"], ["pid", "px", "py", "x", "y"], n, distance).withColumnRenamed("pick", "id"))
     plain = fit.fit_affine(picks)
     robust = fit.fit_affine(fit.sampled_consensus(picks.select("map_id", "id", "px", "py", "x", "y")))
 

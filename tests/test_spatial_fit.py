@@ -66,7 +66,7 @@ def test_box_join_is_the_plain_one(spark):
     draw = np.random.default_rng(4)
     points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(draw.uniform(0, 1000, (200, 2)))], "pid int, x double, y double")
     boxes = spark.createDataFrame([(i, float(a), float(a + 150), float(b), float(b + 90)) for i, (a, b) in enumerate(draw.uniform(0, 900, (10, 2)))], "map_id int, min_x double, max_x double, min_y double, max_y double")
-    one, two = (sorted((r.map_id, r.pid) for r in spatial.box_join(points, boxes, "x", "y", 20, bin_size=s).collect()) for s in (None, 70.0))
+    one, two = (sorted((r.map_id, r.pid) for r in spatial.box_join(points, boxes, "x", "y", 20, bin_size=s).collect()) for s in (spatial.box_side(boxes, 20), 70.0))
     assert one == two and one
     plan = spatial.box_join(points, boxes, "x", "y", 20, bin_size=70.0)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
@@ -101,8 +101,14 @@ def test_spread_and_suppression(spark, seed):
     df = spark.createDataFrame([("m", *r) for r in rows], "map_id string, id int, px double, py double")
     got = [r.id for r in spatial.select_spread(df, ["id"], ["id"], 10, 12.0).orderBy("pick").collect()]
     assert got == brute_spread(rows, 10, 12.0)
-    for large in (False, True):
-        assert [r.id for r in spatial.suppress(df, ["id"], ["id"], 9.0, large=large).orderBy("pick").collect()] == brute_spread(rows, 10**9, 9.0)
+    assert [r.id for r in spatial.suppress(df, ["id"], ["id"], 9.0).orderBy("pick").collect()] == brute_spread(rows, 10**9, 9.0)
+
+
+def test_spread_of_rows_without_position(spark):
+    df = spark.createDataFrame([("m", 1, None, 0.0), ("m", 2, 0.0, 0.0), ("m", 3, 12.0, 0.0), ("m", 4, 11.9, None), (None, 5, 1.0, 1.0)], "map_id string, id int, px double, py double")
+    assert sorted((r.map_id or "", r.id) for r in spatial.select_spread(df, ["id"], ["id"], 10, 12.0).collect()) == [("", 5), ("m", 2), ("m", 3)]
+    assert [r.id for r in spatial.select_spread(df.filter("id < 5"), ["id"], ["id"], 10, 12.0, strict=True).collect()] == [2]
+    assert spatial.select_spread(df.limit(0), ["id"], ["id"]).count() == 0
 
 
 def test_thin_new(spark):
