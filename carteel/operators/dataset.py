@@ -65,14 +65,33 @@ def without_rescued(negatives: DataFrame, hard: DataFrame, positives: DataFrame,
     return plain.unionByName(extra)
 
 
+#: Ranges of the order in which the rows of a class are ranked, each by itself.
+RANGES = 1024
+
+
 def split(crops: DataFrame, order: list[Column] | None = None, share: float = 0.8, by: str = "label", seed: int = 42, first: str = "train", rest: str = "val") -> DataFrame:
     """Adds ``split``: of each class the first floor(share * n) rows in order go to ``first``.
 
     Without ``order`` a hash of the name decides, so a crop keeps its place
-    from run to run as far as the number of crops allows."""
-    w = Window.partitionBy(by)
-    ranked = crops.withColumns({"_k": F.row_number().over(w.orderBy(*(order or [F.xxhash64(F.col("file_name"), F.lit(seed)), F.col("file_name")]))), "_n": F.count(F.lit(1)).over(w)})
-    return ranked.withColumn("split", F.when(F.col("_k") <= F.floor(F.col("_n") * share), first).otherwise(rest)).drop("_k", "_n")
+    from run to run as far as the number of crops allows.  ``order`` begins with a
+    number; its quantiles (RANGES numbers on the driver) cut the classes into
+    ranges.  A rank is the rows in all ranges before and the place in its own, so
+    no task holds a class."""
+    if order is None:
+        mixed = F.xxhash64(F.col("file_name"), F.lit(seed))
+        order, place = [mixed, F.col("file_name")], F.shiftrightunsigned(mixed.bitwiseXOR(F.lit(-(2**63))), 64 - 10).cast("int")
+    else:
+        cuts = crops.agg(F.percentile_approx(order[0], [k / RANGES for k in range(1, RANGES)])).first()[0] or []
+        cuts = F.array(*map(F.lit, dict.fromkeys(cuts))) if cuts else F.array().cast("array<long>")
+        place = F.size(F.filter(cuts, lambda q: q < order[0]))
+    rows = crops.withColumns({"_place": place, "_class": F.col(by)})
+    ends = rows.groupBy("_class", "_place").agg(F.count(F.lit(1)).alias("_here"))
+    upto = Window.partitionBy("_class").orderBy("_place")  # RANGES rows a class
+    ends = ends.withColumns({"_before": F.sum("_here").over(upto) - F.col("_here"), "_n": F.sum("_here").over(Window.partitionBy("_class"))})
+    ends = ends.select(F.col("_class").alias("_c"), F.col("_place").alias("_p"), "_before", "_n")
+    ranked = rows.join(ends, F.col("_class").eqNullSafe(F.col("_c")) & (F.col("_place") == F.col("_p")))
+    k = F.col("_before") + F.row_number().over(Window.partitionBy("_class", "_place").orderBy(*order))
+    return ranked.withColumn("split", F.when(k <= F.floor(F.col("_n") * share), first).otherwise(rest)).select(*[F.col(f"`{c}`") for c in crops.columns], "split")
 
 
 def split_val_first(crops: DataFrame, share: float = 0.2, **how) -> DataFrame:
@@ -82,7 +101,8 @@ def split_val_first(crops: DataFrame, share: float = 0.2, **how) -> DataFrame:
 
 def class_weights(crops: DataFrame, by: str = "label") -> DataFrame:
     """Adds ``weight``: one over the number of rows of the class."""
-    return crops.withColumn("weight", F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy(by)))
+    counts = crops.groupBy(F.col(by).alias("_class")).agg((F.lit(1.0) / F.count(F.lit(1))).alias("weight"))
+    return crops.join(counts, F.col(by).eqNullSafe(F.col("_class"))).drop("_class")
 
 
 def training_sample(crops: DataFrame, ratio: float = 0.0, partials: bool = True, seed: int = 42) -> DataFrame:
@@ -91,8 +111,13 @@ def training_sample(crops: DataFrame, ratio: float = 0.0, partials: bool = True,
     good = crops.filter(F.col("folder").isin("positive", *(["partial"] if partials else []))).select("file_name", F.lit(1).alias("label"))
     bad = crops.filter(F.col("folder").isin("negative", "hard_negative")).select("file_name", F.lit(0).alias("label"))
     if ratio:
-        most = int(good.count() * ratio)
-        bad = bad.orderBy(~F.col("file_name").contains("hn"), F.xxhash64("file_name", F.lit(seed)), "file_name").limit(most)
+        # places among the negatives and the number of positives are both part of the plan: nothing runs while it is built
+        order = F.struct((~F.col("file_name").contains("hn")).alias("late"), F.xxhash64("file_name", F.lit(seed)).alias("mixed"), "file_name")
+        most = good.agg(F.floor(F.count(F.lit(1)) * ratio).cast("long").alias("_most")).scalar()
+        ranked = bad.withColumns({"_order": order, "_range": F.when(F.col("file_name").contains("hn"), 0).otherwise(RANGES) + F.shiftrightunsigned(F.xxhash64("file_name", F.lit(seed)).bitwiseXOR(F.lit(-(2**63))), 64 - 10).cast("int")})
+        ends = ranked.groupBy("_range").agg(F.count(F.lit(1)).alias("_here")).withColumn("_before", F.sum("_here").over(Window.orderBy("_range")) - F.col("_here")).drop("_here")  # 2 * RANGES rows
+        k = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy("_order"))
+        bad = ranked.join(F.broadcast(ends), "_range").withColumn("_k", k).filter(F.col("_k") <= most).select("file_name", "label")
     return good.unionByName(bad)
 
 

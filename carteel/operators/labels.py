@@ -295,7 +295,7 @@ def cluster_lines(positions: DataFrame, gap: int = 3, keys: tuple[str, ...] = ("
     """(keys, line): positions (``pos``, integers) no more than ``gap`` from their neighbour make one line, at their mean cut to an integer."""
     w = Window.partitionBy(*keys).orderBy("pos")
     fresh = F.when(F.col("pos") - F.lag("pos").over(w) > gap, 1).otherwise(0)
-    islands = positions.withColumn("_new", fresh).withColumn("_c", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = positions.withColumn("_new", fresh).withColumn("_c", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
     return islands.groupBy(*keys, "_c").agg(F.avg("pos").cast("int").alias("line")).drop("_c")
 
 

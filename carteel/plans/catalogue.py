@@ -464,7 +464,7 @@ def a14(spark, sf):
     return labels.label_extent(view(spark, sf, "v_label").withColumn("axis", F.expr("CASE WHEN id % 3 = 0 THEN 'easting' ELSE axis END")))
 
 
-@query("w1_cluster_lines", "WITH p AS (SELECT l_suppkey AS map_id, CAST(l_partkey % 2000 AS INTEGER) AS pos FROM lineitem), g AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY map_id ORDER BY pos) > 3 THEN 1 ELSE 0 END AS new FROM p), c AS (SELECT *, sum(new) OVER (PARTITION BY map_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS c FROM g) SELECT map_id, CAST(floor(avg(pos)) AS INTEGER) AS line FROM c GROUP BY map_id, c")
+@query("w1_cluster_lines", "WITH p AS (SELECT l_suppkey AS map_id, CAST(l_partkey % 2000 AS INTEGER) AS pos FROM lineitem), g AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY map_id ORDER BY pos) > 3 THEN 1 ELSE 0 END AS new FROM p), c AS (SELECT *, sum(new) OVER (PARTITION BY map_id ORDER BY pos RANGE UNBOUNDED PRECEDING) AS c FROM g) SELECT map_id, CAST(floor(avg(pos)) AS INTEGER) AS line FROM c GROUP BY map_id, c")
 def w1(spark, sf):
     return labels.cluster_lines(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("map_id"), F.expr("cast(l_partkey % 2000 as int)").alias("pos")))
 

@@ -16,11 +16,17 @@ DETECTIONS = "map_id string, id long, px double, py double, confidence double"
 
 
 def merge_batch(batch: DataFrame, store: str, radius: float = 10.0, least: float = 0.6) -> None:
-    """Append the rows of a batch that are confident and farther than ``radius`` from all that is stored."""
+    """Append the rows of a batch that are confident and farther than ``radius`` from all that is stored.
+
+    The store has a folder for each map; a batch reads those of its own maps only
+    (by a join on the partition column, which prunes at run time)."""
     spark = batch.sparkSession
-    old = spark.read.parquet(store) if exists(spark, store) else spark.createDataFrame([], DETECTIONS)
-    fresh = spatial.thin_new(batch.filter(F.col("confidence") >= least), old.select("map_id", F.col("px").alias("qx"), F.col("py").alias("qy")), radius)
-    fresh.join(batch.select("map_id", "id", "confidence"), ["map_id", "id"]).dropDuplicates(["map_id", "id"]).select(*[c.split()[0] for c in DETECTIONS.split(", ")]).write.mode("append").parquet(store)
+    old = spark.read.schema(DETECTIONS).parquet(store) if exists(spark, store) else spark.createDataFrame([], DETECTIONS)
+    good = batch.filter(F.col("confidence") >= least)
+    mine = old.join(good.select("map_id").distinct(), "map_id", "left_semi").select("map_id", F.col("px").alias("qx"), F.col("py").alias("qy"))
+    fresh = spatial.thin_new(good, mine, radius)
+    rows = fresh.join(good.select("map_id", "id", "confidence"), ["map_id", "id"]).dropDuplicates(["map_id", "id"])
+    rows.select(*[c.split()[0] for c in DETECTIONS.split(", ")]).write.mode("append").partitionBy("map_id").parquet(store)
 
 
 def ingest(spark: SparkSession, folder: str, store: str, checkpoint: str, radius: float = 10.0) -> StreamingQuery:

@@ -161,6 +161,29 @@ def test_split(spark):
     assert sorted(dataset.split(rows).collect()) == sorted(dataset.split(rows).collect())
 
 
+def test_split_by_order_and_null_class(spark):
+    rows = [(i, None if i % 7 == 0 else i % 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "n int, label int")
+    want = {}
+    for label in (None, 0, 1, 2):
+        mine = sorted(i for i, y in rows if y == label)
+        want |= {i: "train" if k < int(0.8 * len(mine)) else "val" for k, i in enumerate(mine)}
+    assert {r.n: r.split for r in dataset.split(df, [F.col("n")]).collect()} == want
+    weights = {r.n: r.weight for r in dataset.class_weights(df).collect()}
+    assert weights == pytest.approx({i: 1 / sum(z == y for _, z in rows) for i, y in rows})
+    assert dataset.split(df.limit(0), [F.col("n")]).count() == 0
+
+
+def test_training_sample(spark):
+    rows = [("positive", f"p{i}") for i in range(6)] + [("partial", "q")] + [("negative", f"n{i}") for i in range(30)] + [("hard_negative", f"hn{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "folder string, file_name string")
+    assert dataset.training_sample(df).count() == 42
+    got = dataset.training_sample(df, ratio=1.5).collect()
+    bad = [r.file_name for r in got if r.label == 0]
+    assert len(bad) == 10 and sum(b.startswith("hn") for b in bad) == 5
+    assert {r.file_name for r in dataset.training_sample(df, ratio=0.5, partials=False).collect() if r.label == 0} < {f"hn{i}" for i in range(5)}
+
+
 def test_held_out_and_rescued(spark):
     held = spark.createDataFrame([("M1",)], "map_id string")
     crops = spark.createDataFrame([("M1_x1_y1.png",), ("M11_x1_y1.png",)], "file_name string")
