@@ -1,27 +1,37 @@
-"""Shared working folders and small file access for operators that write.
+"""Shared working folders, hot keys, and small file access for operators that write.
 
 Everything an executor writes and another process reads goes below the folder
-named by ``spark.checkpoint.dir``.  Only where that setting is absent (tests,
-notebooks) a temporary local folder takes its place.
+named by ``spark.checkpoint.dir``.  Only a local session without that setting
+(tests, notebooks) gets a temporary folder; a cluster without it gets an error.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
+_MADE: list[tuple] = []
+
+#: A key is hot if it has one in so many of all rows: there are never more hot keys than this, whatever the input.
+HOT_SHARE = 10_000
+#: Keys with fewer rows than this are never hot.
+LEAST_HOT = 1000
 
 
 def shared_root(spark: SparkSession) -> str:
     """URI of the folder that the driver and all executors see."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="carteel-"))
             atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
@@ -29,9 +39,38 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _clear() -> None:
+    """Results are read from their workspaces as long as the session lives; then nobody needs them."""
+    for path, conf in _MADE:
+        with contextlib.suppress(Exception):  # the session's gateway may be gone
+            path.getFileSystem(conf).delete(path, True)
+
+
 def workspace(spark: SparkSession, name: str) -> str:
-    """A folder of its own for one run of an operator."""
-    return f"{shared_root(spark)}/carteel/{name}-{uuid.uuid4().hex[:12]}"
+    """A folder of its own for one run of an operator, removed when the process ends."""
+    folder = f"{shared_root(spark)}/carteel/{name}-{uuid.uuid4().hex[:12]}"
+    if not _MADE:
+        atexit.register(_clear)
+    _MADE.append((spark._jvm.org.apache.hadoop.fs.Path(folder), spark._jsc.hadoopConfiguration()))
+    return folder
+
+
+def hot_keys(rows: DataFrame, key: str, folder: str, name: str) -> DataFrame:
+    """The values of ``key`` with at least max(LEAST_HOT, rows / HOT_SHARE) rows, HOT_SHARE at most, written down."""
+    least = max(LEAST_HOT, -(-rows.count() // HOT_SHARE))
+    return written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select(key), folder, name)
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Inner join of ``rows`` with a ``table`` that has a row for each ``key``: rows of the hot keys stay where they are, the others are shuffled."""
+    warm = rows.join(F.broadcast(table.join(F.broadcast(hot), key, "left_semi")), key)
+    cold = rows.join(F.broadcast(hot), key, "left_anti").join(table, key)
+    return cold.unionByName(warm)
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` in one struct, so that no column of an operator can clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def written(df: DataFrame, folder: str, name: str, compression: str = "zstd", by: tuple[str, ...] = ()) -> DataFrame:

@@ -1,12 +1,16 @@
 import bisect
 import itertools
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from carteel.llm import exact, near
+from carteel.llm import exact, near, store
+
+
+SF = "/root/testdata/sf0.01"
 
 
 def expected(docs):
@@ -107,9 +111,11 @@ def classes(rows):
     return {i: root(i) for i, _ in rows}
 
 
-@pytest.mark.parametrize("seed,block", [(1, 512), (2, 3)])
-def test_classes_equal_all_pairs(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize("seed,block,large,hot", [(1, 512, 4096, 1000), (2, 3, 4096, 1000), (3, 4, 6, 3)])
+def test_classes_equal_all_pairs(spark, monkeypatch, seed, block, large, hot):
     monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "LARGE", large)
+    monkeypatch.setattr(store, "LEAST_HOT", hot)
     rows, df = corpus(spark, seed)
     got = near.near_duplicates(df).collect()
     assert {r.doc_id: r.class_id for r in got} == classes(rows)
@@ -127,3 +133,45 @@ def test_awkward_rows(spark, docs, clashing):
     kept = near.one_of_each(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 3, 4, 5, 6, 7, None, 9}
     assert near.near_duplicates(docs.limit(0)).count() == 0 and near.near_duplicates(docs.filter("doc_id = 3")).count() == 1
+    assert near.one_of_each(clashing).columns == clashing.columns
+
+
+def test_short_texts_share_a_key():
+    for n in (4, 5):
+        a = np.arange(100, 100 + n, dtype=np.uint64)
+        for k in range(n + 1):
+            assert set(near.sketch(a)) & set(near.sketch(np.insert(a, k, 7)))
+    assert len(near.sketch(np.arange(4, dtype=np.uint64))) == 1
+
+
+def test_rows_that_share_an_id(spark):
+    """One row of each class stays, and no other text is lost with it."""
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, base, "a"), (5, "something else that nobody repeats here at all", "b"), (5, base + " more", "c"), (6, "x", "d"), (None, base + " none", "e"), (3, base, "f"), (None, "a text without any id but with words", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `_row` string")
+    kept = near.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted((r[1], r[2]) for r in kept.collect())
+    assert [t for t, _ in got] == sorted({base, "something else that nobody repeats here at all", "x", "a text without any id but with words"})
+    assert dict(got)[base] in "af" and all((t, c) in {(r[1], r[2]) for r in rows} for t, c in got)
+    marks = near.near_duplicates(df).collect()
+    assert sorted(r.class_size for r in marks) == [1, 1, 1, 4, 4, 4, 4] and sum(r.kept for r in marks) == 5
+
+
+def test_links_of_a_stated_query_set(spark):
+    """Recall against brute force: ids divisible by 50 against all rows of ``documents``."""
+    if not os.path.isdir(SF):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    of = {r.doc_id: r.class_id for r in near.near_duplicates(docs).collect()}
+    s = near.Shingles()
+    symbols = {r.doc_id: s.symbols((r.text or "").encode().split()) for r in docs.collect()}
+    sets = {i: set(x.tolist()) for i, x in symbols.items()}
+    links = found = 0
+    for i in (i for i in symbols if i % 50 == 0):
+        for j, y in symbols.items():
+            n, m = len(symbols[i]), len(y)
+            if i != j and n and m and near.similar(len(sets[i] & sets[j]), n, m) and near.similar(chain(symbols[i].tolist(), y.tolist()), n, m):
+                links += 1
+                found += of[i] == of[j]
+    assert found == links
