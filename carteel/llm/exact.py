@@ -14,10 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import workspace, written
+from .store import HOT_SHARE, whole_row, workspace, written
 
-#: Frequent digests are at most so many, whatever the input.
-HOT_SHARE = 10_000
 SALTS = 64
 
 
@@ -30,8 +28,8 @@ def _hot(rows: DataFrame, total: int, least: int) -> DataFrame:
     return rows.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= F.lit(max(least, -(-total // HOT_SHARE)))).select("_digest", F.lit(True).alias("_hot"))
 
 
-def _combined(rows: DataFrame, hot: DataFrame, aggs: list[Column], merged: list[Column]) -> DataFrame:
-    """One row for each distinct (digest, text)."""
+def _combined(rows: DataFrame, hot: DataFrame, aggs: list[Column], merged: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """(cold, hot): one row for each distinct (digest, text)."""
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("_row"), F.lit(SALTS))).otherwise(F.lit(0))
     salted = rows.join(F.broadcast(hot), "_digest", "left").withColumn("_salt", salt)
     first = salted.groupBy("_digest", "_salt", "_hot", "_text").agg(*aggs)
@@ -85,17 +83,14 @@ def distinct_documents(docs: DataFrame, id_column: str = "doc_id", text_column:
     """The rows that stay, with all columns of ``docs``: one for each distinct text, that with the largest doc_id
     (of rows with that doc_id and text, one).  Null and empty texts are one group."""
     folder = workspace(docs.sparkSession, "distinct")
-    slim = _rows(docs, id_column, text_column, sha256)
-    hot = written(_hot(slim, docs.count(), least_hot), folder, "hot")
-    rest = [c for c in docs.columns if c != text_column]
+    hot = written(_hot(_rows(docs, id_column, text_column, sha256), docs.count(), least_hot), folder, "hot")
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    rows = docs.select(
-        F.col(id_column).cast("long").alias("_row"),
-        text.alias("_text"),
-        F.struct(*[F.col(f"`{c}`") for c in rest], F.col(text_column).isNull().alias("_null")).alias("_rest"),
-    ).withColumn("_digest", sha256(F.col("_text")))
-    order = F.struct("_row", F.xxhash64("_rest"))
-    cold, warm = _combined(rows, hot, [F.max(F.struct(order.alias("_order"), F.col("_rest"))).alias("_best")], [F.max("_best").alias("_best")])
-    best = cold.unionByName(warm)
-    out = {text_column: F.when(~F.col("_best._rest._null"), F.col("_text"))} | {c: F.col(f"_best._rest.`{c}`") for c in rest}
+    row = whole_row(docs.drop(text_column)) if len(docs.columns) > 1 else F.struct(F.lit(0).alias("none"))
+    # the names below stand beside one struct with all other columns of the table, so none can clash
+    rows = docs.select(F.col(id_column).cast("long").alias("_row"), text.alias("_text"), F.struct(row.alias("rest"), F.col(text_column).isNull().alias("empty")).alias("_rest"))
+    rows = rows.withColumn("_digest", sha256(F.col("_text")))
+    order = F.struct("_row", F.xxhash64("_rest") if "map<" not in rows.schema["_rest"].dataType.simpleString() else F.lit(0))
+    cold, warm = _combined(rows, hot, [F.max_by("_rest", order).alias("_best"), F.max(order).alias("_order")], [F.max_by("_best", "_order").alias("_best")])
+    best = cold.drop("_order").unionByName(warm)
+    out = {c: F.col(f"_best.rest.`{c}`") for c in docs.columns} | {text_column: F.when(~F.col("_best.empty"), F.col("_text")).cast(docs.schema[text_column].dataType)}
     return best.select(*[out[c].alias(c) for c in docs.columns])

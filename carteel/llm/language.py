@@ -4,29 +4,33 @@ Each language has probabilities for the pieces of a fixed public vocabulary.  A
 word's probability is the sum over all ways to cut it into pieces, found by a
 forward algorithm; a text's is the product over its words.  The probabilities
 come from expectation maximisation with the forward-backward algorithm on a
-bounded sample of labelled documents; every document is scored, whole.
+bounded sample of labelled documents, a task for each language; every document is
+scored, whole.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tokens import batches, texts_of
 
-#: The sample: at most so many documents of a language, of at most so many characters, and at most so many languages.
-SAMPLE, SAMPLE_CHARS, LANGUAGES = 400, 20_000, 200
+#: The sample: at most so many documents of a language, and of a longer text a part of so many characters, from a place that a hash of the id chooses.
+SAMPLE, SAMPLE_CHARS = 400, 20_000
 #: Pieces longer than this many characters (with the word mark) are left out.
 LONGEST = 12
 #: Rounds of expectation maximisation, and the count that every piece has besides.
 ROUNDS, PRIOR = 3, 0.05
+#: Words of more letters (and the mark) are learned in logarithms.
+LONG_WORD = 40
 #: Probability of a character that no piece covers.
 UNKNOWN = 1e-7
 MARK = "▁"
@@ -59,98 +63,138 @@ def words(text: str | None) -> list[str]:
 
 
 class Model:
-    """``table``: for each piece, its probability in each of ``languages``."""
+    """``probs``: a row for each of ``pieces``, a column for each of ``languages``."""
 
-    def __init__(self, languages: list[str], table: dict[str, tuple[float, ...]], longest: int = LONGEST):
-        self.languages, self.table, self.longest = languages, table, longest
-        self.unknown = (UNKNOWN,) * len(languages)
+    def __init__(self, languages: list[str], pieces: list[str], probs: np.ndarray, longest: int = LONGEST):
+        self.languages, self.pieces, self.probs, self.longest = languages, pieces, probs, longest
+
+    @property
+    def table(self) -> dict[str, tuple[float, ...]]:
+        """For each piece, its probability in each language."""
+        return dict(zip(self.pieces, map(tuple, self.probs.tolist()), strict=True))
 
     def log_probability(self, word: str) -> list[float]:
-        """log of the sum over all segmentations, for each language."""
-        text, get, longest, n = MARK + word, self.table.get, self.longest, len(self.languages)
-        at: list[list[float]] = [[1.0] * n]
-        logs = [0.0] * n
-        for i in range(1, len(text) + 1):
-            low = max(0, i - longest)
-            total = [0.0] * n
-            for j in range(low, i):
-                p = get(text[j:i])
-                if p is None:
-                    if i - j > 1:
-                        continue
-                    p = self.unknown
-                total = [t + a * b for t, a, b in zip(total, at[j], p, strict=True)]
-            at.append(total)
-            if min(total) < 1e-150:  # long words: the last few values are brought back to size
-                for k in range(n):
-                    scale = total[k]
-                    logs[k] += math.log(scale)
-                    for x in at[low:]:
-                        x[k] /= scale
-        return [a + math.log(x) for a, x in zip(logs, at[-1], strict=True)]
-
-
-def learn(rows: list[tuple[str, str]], vocabulary: list[str], longest: int = LONGEST, rounds: int = ROUNDS) -> Model:
-    """Piece probabilities from (language, text) rows.  Reruns on equal rows agree."""
-    counts: dict[str, Counter] = {}
+        """log of the sum over all segmentations, for each language: the plain form of what ``Scorer`` does for many words."""
+        text, table, n = MARK + word, self.table, len(self.languages)
+        out = []
+        for k in range(n):
+            at = [0.0]
+            for i in range(1, len(text) + 1):
+                ways = []
+                for j in range(max(0, i - self.longest), i):
+                    p = table[text[j:i]][k] if text[j:i] in table else UNKNOWN if i - j == 1 else 0.0
+                    if p:
+                        ways.append(at[j] + math.log(p))
+                most = max(ways)
+                at.append(most + math.log(sum(math.exp(w - most) for w in ways)))
+            out.append(at[-1])
+        return out
+
+
+def learn_one(texts: Iterable[str], vocabulary: list[str], longest: int = LONGEST, rounds: int = ROUNDS) -> np.ndarray:
+    """Piece probabilities of one language, in order of the vocabulary.  Reruns on equal texts agree."""
+    seen: Counter = Counter()
+    for text in texts:
+        seen.update(words(text))
+    number = {p: i for i, p in enumerate(vocabulary)}
+    spans = [(len(w) + 1, k, _spans(MARK + w, number, longest)) for w, k in sorted(seen.items())]
+    prob = np.full(len(vocabulary), 1.0 / max(1, len(vocabulary)))
+    for _ in range(rounds):
+        got, known = [PRIOR] * len(vocabulary), prob.tolist()
+        for n, k, found in spans:
+            (_expect if n <= LONG_WORD else _expect_long)(n, found, known, k, got)
+        prob = np.array(got) / sum(got)
+    return prob
+
+
+def learn(rows: Iterable[tuple[str, str]], vocabulary: list[str], longest: int = LONGEST, rounds: int = ROUNDS) -> Model:
+    """A model from (language, text) rows; without rows it has no language, and every text is ``und`` for it."""
+    texts: dict[str, list[str]] = {}
     for lang, text in rows:
-        counts.setdefault(lang, Counter()).update(words(text))
-    known, tables = set(vocabulary), {}
-    for lang, seen in sorted(counts.items()):
-        prob = dict.fromkeys(vocabulary, 1.0 / max(1, len(vocabulary)))
-        spans = {w: _spans(MARK + w, known, longest) for w in seen}
-        for _ in range(rounds):
-            got = dict.fromkeys(vocabulary, PRIOR)
-            for w, k in seen.items():
-                _expect(len(w) + 1, spans[w], prob, k, got)
-            total = sum(got.values())
-            prob = {p: v / total for p, v in got.items()}
-        tables[lang] = prob
-    languages = sorted(tables)
-    return Model(languages, {p: tuple(tables[lang][p] for lang in languages) for p in vocabulary} if languages else {}, longest)
-
-
-def _spans(text: str, known: set[str], longest: int) -> list[tuple[int, int, str]]:
-    """(start, end, piece) in order of end; an uncovered character is a span with an empty piece."""
+        texts.setdefault(lang, []).append(text)
+    found = {lang: learn_one(mine, vocabulary, longest, rounds) for lang, mine in sorted(texts.items())}
+    return Model(list(found), vocabulary, np.column_stack(list(found.values())) if found else np.empty((len(vocabulary), 0)), longest)
+
+
+def _spans(text: str, number: dict[str, int], longest: int) -> list[tuple[int, int, int]]:
+    """(start, end, piece) in order of end; an uncovered character is a span with piece -1."""
     out = []
     for i in range(1, len(text) + 1):
         for j in range(max(0, i - longest), i):
-            if text[j:i] in known:
-                out.append((j, i, text[j:i]))
+            if (piece := number.get(text[j:i])) is not None:
+                out.append((j, i, piece))
             elif i - j == 1:
-                out.append((j, i, ""))
+                out.append((j, i, -1))
     return out
 
 
-def _expect(n: int, spans: list[tuple[int, int, str]], prob: dict[str, float], weight: int, got: dict[str, float]) -> None:
-    if n > 40:  # no natural word; the sums below would lose their precision
-        return
+def _expect(n: int, spans: list[tuple[int, int, int]], prob: list[float], weight: int, got: list[float]) -> None:
+    """Adds the expected counts of the pieces of a word that comes ``weight`` times."""
     ahead, behind = [0.0] * (n + 1), [0.0] * (n + 1)
     ahead[0] = behind[n] = 1.0
-    ps = [prob.get(p, UNKNOWN) for _, _, p in spans]
+    ps = [prob[p] if p >= 0 else UNKNOWN for _, _, p in spans]
     for (j, i, _), p in zip(spans, ps, strict=True):
         ahead[i] += ahead[j] * p
     for (j, i, _), p in zip(reversed(spans), reversed(ps), strict=True):
         behind[j] += behind[i] * p
-    if ahead[n] > 0:
-        share = weight / ahead[n]
-        for (j, i, piece), p in zip(spans, ps, strict=True):
-            if piece:
-                got[piece] += ahead[j] * p * behind[i] * share
+    share = weight / ahead[n]
+    for (j, i, piece), p in zip(spans, ps, strict=True):
+        if piece >= 0:
+            got[piece] += ahead[j] * p * behind[i] * share
+
 
+def _expect_long(n: int, spans: list[tuple[int, int, int]], prob: list[float], weight: int, got: list[float]) -> None:
+    """As ``_expect`` in logarithms, for words (or clauses of scripts without spaces) whose probability is too small for a float."""
+    none = -math.inf
+    ahead, behind = [none] * (n + 1), [none] * (n + 1)
+    ahead[0] = behind[n] = 0.0
 
-def sample(docs: DataFrame, per_language: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """At most ``per_language`` labelled texts of each language, chosen by a hash of the id: bounded, and the same on each run."""
-    from pyspark.sql import Window
+    def plus(a: float, b: float) -> float:
+        high, low = (a, b) if a > b else (b, a)
+        return high + math.log1p(math.exp(low - high)) if low > none else high
 
-    slim = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").alias("_id"), F.length("text").alias("_n"), F.xxhash64(F.col("doc_id"), F.lit(7)).alias("_order"))
-    slim = slim.filter(F.col("_n") <= chars)
-    top = Window.partitionBy("lang").orderBy("_order", "_id")
-    ids = slim.withColumn("_k", F.row_number().over(top)).filter(F.col("_k") <= per_language)
-    kept = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    ids = ids.join(F.broadcast(kept), "lang").select("_id", "lang")  # per_language * LANGUAGES rows at most
-    found = docs.select(F.col("doc_id").alias("_id"), F.col("lang").cast("string").alias("lang"), "text").filter(F.length("text") <= chars).join(F.broadcast(ids), ["_id", "lang"], "left_semi").dropDuplicates(["_id", "lang"])
-    return sorted((r.lang, r.text) for r in found.select("lang", "text").collect())
+    ps = [math.log(prob[p] if p >= 0 else UNKNOWN) for _, _, p in spans]
+    for (j, i, _), p in zip(spans, ps, strict=True):
+        ahead[i] = plus(ahead[i], ahead[j] + p)
+    for (j, i, _), p in zip(reversed(spans), reversed(ps), strict=True):
+        behind[j] = plus(behind[j], behind[i] + p)
+    for (j, i, piece), p in zip(spans, ps, strict=True):
+        if piece >= 0:
+            got[piece] += weight * math.exp(ahead[j] + p + behind[i] - ahead[n])
+
+
+def sample(docs: DataFrame, per_language: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(lang, text): at most ``per_language`` labelled texts of every language, those with the least hash of id and text, of at
+    most ``chars`` characters each; the same on each run.
+
+    A share of the hash's range that holds a few times as many rows is cut off for each language before anything is
+    shuffled, so the task that picks them gets about as many at every size of the table."""
+    rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(7), F.col("doc_id"), F.col("text")).alias("_order"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("_order", 0.05).alias("_n"))  # repeated rows count once
+    # four times as many as wanted and some more: fewer than wanted come from it with a probability below 1e-9
+    reach = F.least(F.lit(1.0), F.lit(4.0 * per_language + 100) / F.col("_n"))
+    low = F.lit(float(-(2**63))) + reach * F.lit(2.0**64)
+    counts = counts.select("lang", F.when(reach >= 1, F.lit(math.inf)).otherwise(low).alias("_high"))  # far smaller than the model
+    near = rows.join(F.broadcast(counts), "lang").filter(F.col("_order").cast("double") <= F.col("_high")).drop("_high")
+    begin = F.when(F.length("text") > chars, F.pmod(F.col("_order"), F.length("text") - chars + 1)).otherwise(0).cast("int") + 1
+    cut = near.select("lang", "_order", F.substr("text", begin, F.lit(chars)).alias("text")).dropDuplicates(["lang", "_order"])
+    top = Window.partitionBy("lang").orderBy("_order", "text")
+    return cut.withColumn("_k", F.row_number().over(top)).filter(F.col("_k") <= per_language).select("lang", "text")
+
+
+def learn_languages(docs: DataFrame, vocabulary: list[str] | None = None, per_language: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+    """A model of every language that labels a row of ``docs`` (text, lang), each learned in a task of its own; a number for each
+    piece and language comes to the driver."""
+    vocabulary = pieces() if vocabulary is None else vocabulary
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("text")
+        prob = learn_one(table["text"].to_pylist(), vocabulary)
+        return pa.table({"lang": table["lang"].slice(0, 1), "prob": pa.array([prob.tolist()], pa.list_(pa.float64()))})
+
+    found = sample(docs, per_language, chars).groupBy("lang").applyInArrow(run, "lang string, prob array<double>").collect()
+    found = sorted((r.lang, r.prob) for r in found)
+    return Model([lang for lang, _ in found], vocabulary, np.array([p for _, p in found]).T if found else np.empty((len(vocabulary), 0)))
 
 
 class Scorer:
@@ -165,12 +209,11 @@ class Scorer:
         self.model, self._row = model, {}
         n = len(model.languages)
         self._scores = np.empty((KEPT, n))
-        pieces_ = list(model.table)
-        hashes = np.array([self._hash(p) for p in pieces_], np.uint64)
+        hashes = np.array([self._hash(p) for p in model.pieces], np.uint64)
         order = np.argsort(hashes)
         self._hashes = hashes[order]
         # a row for each piece, one for characters without piece, one for other substrings
-        self._probs = np.vstack([np.array([model.table[pieces_[i]] for i in order]).reshape(-1, n), np.full((1, n), UNKNOWN), np.zeros((1, n))])
+        self._probs = np.vstack([model.probs[order], np.full((1, n), UNKNOWN), np.zeros((1, n))])
 
     def _hash(self, piece: str) -> np.uint64:
         h = 0
@@ -216,14 +259,15 @@ class Scorer:
                 self._row.update(zip(part, range(first, first + len(part)), strict=True))
 
     def scores(self, found: list[str]) -> np.ndarray:
-        """A row for each distinct word of ``found``; zeros for what has no letter."""
+        """A row for each word of ``found``; zeros for what has no letter."""
         row, out = self._row, np.zeros((len(found), len(self.model.languages)))
         for a in range(0, len(found), KEPT // 2):
             part = found[a : a + KEPT // 2]
-            fresh = [w for w in part if w not in row and w and regex.search(r"\p{L}", w)]
+            distinct = dict.fromkeys(part)
+            fresh = [w for w in distinct if w not in row and w and regex.search(r"\p{L}", w)]
             if len(row) + len(fresh) > KEPT:
                 row.clear()
-                fresh = [w for w in part if w and regex.search(r"\p{L}", w)]
+                fresh = [w for w in distinct if w and regex.search(r"\p{L}", w)]
             self._learn(fresh)
             at = np.array([row.get(w, -1) for w in part], np.int64)
             out[a : a + len(part)] = np.where(at[:, None] >= 0, self._scores[at], 0.0)
@@ -257,7 +301,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     Null texts and texts without a letter are ``und`` with score 0, as is all
     text for a model without languages.  Repeated rows are scored each."""
-    packed = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.longest))  # bounded by the vocabulary
+    packed = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.probs, model.longest))  # 8 bytes for each piece and language
 
     def run(parts):
         scorer = Scorer(Model(*packed.value))
@@ -277,6 +321,6 @@ def held_out(doc_id: str = "doc_id"):
 def identify_languages(docs: DataFrame) -> DataFrame:
     """Learn from the labelled documents that aren't held out, then predict for every document.
 
-    A null doc_id isn't held out."""
-    model = learn(sample(docs.filter(~held_out())), pieces())
+    A null doc_id isn't held out.  Without any label all texts are ``und``."""
+    model = learn_languages(docs.filter(~held_out()))
     return identify(docs, model).withColumn("held_out", held_out())

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree, in DataFrame operations only.
 
 A hash puts each source's documents in a random order and cuts it into at most
-``BLOCKS`` blocks.  A source's target is some whole passes over its blocks and a
+``BLOCKS`` blocks, or ``SHARE`` times the number of shards, if that is more.  A source's target is some whole passes over its blocks and a
 part of one more, which gives an exact number of block copies, its quota.  A
 binary tree splits the quotas among output shards: each inner node draws, source
 by source, how many of its block copies go left, by the hypergeometric
@@ -17,13 +17,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import workspace, written
+from .store import whole_row, workspace, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
-#: Blocks of a source at most; a power of two.
-BLOCKS = 4096
-SHARDS = 16
+#: Blocks of a source at least offered, and for each shard; powers of two.
+BLOCKS, SHARE = 4096, 16
+#: Shards at least, a power of two, and words of a shard at most (about 200 MB of text), so that a task can hold one at any size of the mix.
+SHARDS, SHARD_WORDS = 16, 1 << 25
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -32,11 +33,18 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("z")).otherwise(F.concat(F.lit("a"), source.cast("string")))
 
 
-def _sized(docs: DataFrame, seed: int) -> DataFrame:
+def _numbered() -> list[Column]:
+    """_id, doc_id, _key, size, _text: a number for each row, which stays once it is written, and a hash of its id and text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("source")).alias("_key"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("_text"))
-    rows = rows.withColumn("_order", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_text")))
-    return rows.withColumn("_block", F.shiftrightunsigned("_order", 64 - int(math.log2(BLOCKS))).cast("int"))
+    words = F.regexp_count(text, F.lit(WORD)).cast("long")
+    return [F.monotonically_increasing_id().alias("_id"), F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("source")).alias("_key"), words.alias("size"), F.xxhash64(F.col("doc_id"), text).alias("_text")]
+
+
+def shards_for(words: int, shards: int = SHARDS, most: int = SHARD_WORDS) -> int:
+    """The least power of two from ``shards`` on that leaves at most ``most`` words to a shard."""
+    while shards * most < words:
+        shards *= 2
+    return shards
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -115,8 +123,8 @@ def _to_left(seed: int, level: int):
 def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     """(_key, shard, quota) from (_key, quota): a row for each source and shard with a quota over 0.
 
-    ``shards`` is a power of two.  A node's row holds one number for each source."""
-    tree = quotas.agg(F.array_sort(F.collect_list(F.struct(F.col("_key").alias("key"), F.col("quota").cast("long").alias("n")))).alias("q")).select(F.lit(0).alias("node"), "q")
+    ``shards`` is a power of two.  A node's row holds a number for each source that it has block copies of."""
+    tree = quotas.filter("quota > 0").agg(F.array_sort(F.collect_list(F.struct(F.col("_key").alias("key"), F.col("quota").cast("long").alias("n")))).alias("q")).select(F.lit(0).alias("node"), "q")
     for level in range(int(math.log2(shards))):
         total = F.aggregate("q", F.lit(0).cast("long"), lambda a, e: a + e["n"])
         tree = tree.select("node", "q", total.alias("total"))
@@ -125,7 +133,8 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> Data
         left = F.zip_with("q", "x", lambda e, x: F.struct(e["key"].alias("key"), x.alias("n")))
         right = F.zip_with("q", "x", lambda e, x: F.struct(e["key"].alias("key"), (e["n"] - x).alias("n")))
         halves = F.array(F.struct((F.col("node") * 2).alias("node"), left.alias("q")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("q")))
-        tree = tree.select(F.explode(halves).alias("h")).select("h.node", "h.q")
+        # a source without block copies in a node isn't carried on: a level never has more entries than there are block copies
+        tree = tree.select(F.explode(halves).alias("h")).select("h.node", F.filter("h.q", lambda e: e["n"] > 0).alias("q"))
     return tree.select(F.col("node").alias("shard"), F.explode("q").alias("e")).select(F.col("e.key").alias("_key"), "shard", F.col("e.n").alias("quota")).filter("quota > 0")
 
 
@@ -170,16 +179,26 @@ def _partial(placed: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """What the mix takes of every row: doc_id, size, source_size, target, taken, copies, _key, _text.
+    """What the mix takes of every row: doc_id, size, source_size, target, taken, copies.
 
     copies: a (pass, shard, place) for each time the document is taken, pass 0
-    being the partial one; place orders the documents of a shard.  Null text has
+    being the partial one; place orders the documents of a shard.  There are
+    ``shards`` shards, or more if the mix is large.  Null text has
     no words and is never taken; null is a source of its own; repeated rows are
     taken each.  Documents are taken whole.  Equal inputs give equal plans."""
     folder = workspace(docs.sparkSession, "mix")
-    rows = written(_sized(docs, seed), folder, "sizes")
+    return _planned(written(docs.select(*_numbered()), folder, "rows"), folder, weights, cap, shards, seed).drop("_id")
+
+
+def _planned(rows: DataFrame, folder: str, weights: tuple[float, ...], cap: int, shards: int, seed: int) -> DataFrame:
+    """As ``plan_mix``, with _id, from written rows of ``_numbered``."""
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shards = shards_for(total, shards)
+    bits = int(math.log2(max(BLOCKS, SHARE * shards)))
+    order = F.xxhash64(F.lit(seed), F.col("_text"))
+    rows = rows.select("_id", "doc_id", "_key", "size", order.alias("_order")).withColumn("_block", F.shiftrightunsigned("_order", 64 - bits).cast("int"))
     blocks = rows.groupBy("_key", "_block").agg(F.sum("size").alias("words"))
-    blocks = written(blocks, folder, "blocks")  # BLOCKS rows a source at most
+    blocks = written(blocks, folder, "blocks")  # 2**bits rows a source at most
     sources = blocks.groupBy("_key").agg(F.sum("words").alias("source_size"))
     wanted = targets(sources, weights, cap)
     quota = F.round("target").cast("long")
@@ -211,17 +230,19 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = C
     mine = F.filter(F.coalesce("_copies", F.expr("cast(array() as array<struct<pass: bigint, shard: int>>)")), lambda c: (F.col("size") > 0) & ((c["pass"] > 0) | F.col("_part")))
     place = F.transform(mine, lambda c: F.struct(c["pass"].alias("pass"), c["shard"].alias("shard"), F.xxhash64(F.lit(seed), c["shard"], c["pass"], F.col("_order")).alias("place")))
     out = taken.join(held, ["_key", "_block"], "left").withColumn("copies", place)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"), "copies", "_key", "_text")
-
-
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: the columns of ``docs`` and ``shard``, a row for each copy that is taken, shuffled inside each shard's rows of a task.
-
-    Equal rows are taken together: as often as all of them."""
-    plan = plan_mix(docs, **how).filter("taken > 0").groupBy("doc_id", "_key", "_text").agg(F.flatten(F.collect_list("copies")).alias("_copies"))
-    keys = {"_id": F.col("doc_id").cast("long"), "_key": _key(F.col("source")), "_text": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
-    rows = docs.withColumns(keys).dropDuplicates(["_id", "_key", "_text"])
-    plan = plan.withColumnRenamed("doc_id", "_plan_id").withColumnsRenamed({"_key": "_plan_key", "_text": "_plan_text"})
-    on = rows["_id"].eqNullSafe(plan["_plan_id"]) & (rows["_key"] == plan["_plan_key"]) & (rows["_text"] == plan["_plan_text"])
-    spread = rows.join(plan, on).withColumn("_copy", F.explode("_copies"))
-    return spread.sortWithinPartitions("_copy.shard", "_copy.place").select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_copy.shard").alias("shard"))
+    return out.select("_id", "doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"), "copies")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, shards: int = SHARDS, seed: int = 0) -> DataFrame:
+    """The mix itself: the columns of ``docs`` in a row for each copy that is taken.
+
+    Each shard is one partition, its rows in order of place: written down, the
+    files follow each other as the shards do.  The rows are written once with a
+    number each, which then finds them again; rows that are alike stay apart."""
+    folder = workspace(docs.sparkSession, "mixed")
+    kept = written(docs.select(whole_row(docs).alias("_row"), *_numbered()), folder, "rows")
+    plan = _planned(kept.drop("_row"), folder, weights, cap, shards, seed).filter("taken > 0")
+    copies = written(plan.select("_id", F.explode("copies").alias("c")).select("_id", "c.shard", "c.place", "c.pass"), folder, "drawn")
+    last = copies.agg(F.max("shard")).first()[0]
+    placed = kept.select("_id", "_row").join(copies, "_id")
+    return placed.repartitionById((last or 0) + 1, "shard").sortWithinPartitions("shard", "place", "pass", "_id").select("_row.*")

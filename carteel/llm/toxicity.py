@@ -5,7 +5,8 @@ function of its words and their beginnings (which stand for stems in languages
 that inflect or compound); the document's is their noisy-or, with a leak for labels
 that no sentence explains: ``1 - (1 - leak) * prod(1 - p)``.  Weights and leak
 are fitted to document labels; the sentences' probabilities then show where the
-offending passage is.
+offending passage is.  When documents are scored, sentences with less than
+``NOTHING`` count as none, so that a book isn't toxic for its length.
 """
 
 from __future__ import annotations
@@ -21,15 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The sample: at most so many labelled documents, of at most so many characters each.
-SAMPLE, SAMPLE_CHARS = 4000, 20_000
+SAMPLE, SAMPLE_CHARS = 6000, 20_000
 #: Words and beginnings with a weight: those in at least LEAST documents of the sample, the KEPT most frequent.
 LEAST, KEPT = 3, 60_000
 #: Lengths of the beginnings of words.
 STEMS = (4, 5, 6, 7)
 #: Words whose weight a task keeps.
 WORDS_KEPT = 150_000
-#: log-odds of a sentence without weighted words.
-BASE = -9.0
+#: log-odds of a sentence without weighted words, and those below which a sentence adds nothing to a score (a probability of 0.02).
+BASE, NOTHING = -9.0, -3.9
 STEPS, RATE, SHRINK = 120, 0.2, 0.05
 SENTENCE = regex.compile(r"[^.!?\n]*[.!?\n]?")
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}']+")
@@ -73,11 +74,12 @@ class Model:
         return total
 
     def score(self, text: str | None) -> float:
-        """Probability of the label; a text without words has the leak."""
+        """Probability of the label; a text without words, or without any sentence over NOTHING, has the leak, however long it is."""
         hidden = 0.0
         for bag in bags(text):
-            z = self._sum(bag)
-            hidden += math.log1p(math.exp(self.base + z)) if z < 500 else self.base + z
+            z = self.base + self._sum(bag)
+            if z >= NOTHING:
+                hidden += math.log1p(math.exp(z)) if z < 500 else z
         return 1.0 - (1.0 - self.leak) * math.exp(-hidden)
 
     def locate(self, text: str | None, least: float = 0.5) -> list[tuple[int, int, float]]:
@@ -92,7 +94,9 @@ class Model:
 
 
 def learn(rows: Iterable[tuple[str | None, int]], steps: int = STEPS, rate: float = RATE, shrink: float = SHRINK, least: int = LEAST) -> Model:
-    """Fit weights to (text, label) by full-batch gradient steps, two thirds of them with soft thresholding; the same on each run."""
+    """Fit weights to (text, label) by full-batch gradient steps, two thirds of them with soft thresholding; the same on each run.
+
+    Without rows the leak is 0, and with labels of one kind alone it is that label: no weight tells anything then."""
     texts = [(t, int(y)) for t, y in rows]
     y = np.array([label for _, label in texts], float)
     if not len(y) or y.min() == y.max():
@@ -140,7 +144,9 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """At most ``rows`` labelled texts outside the held-out part, chosen by a hash of the id: bounded, and the same on each run."""
+    """At most ``rows`` labelled texts outside the held-out part, chosen by a hash of the id: bounded, and the same on each run.
+
+    Null ids and null labels don't count; of an id with several labels the greatest does; no label gives an empty list."""
     ids = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(rows).select(F.col("doc_id").alias("_id"), "toxic")
     found = docs.select(F.col("doc_id").alias("_id"), "text").filter(F.length("text") <= chars).join(F.broadcast(ids), "_id").dropDuplicates(["_id"])

@@ -26,7 +26,22 @@ def docs(spark):
 
 @pytest.fixture(scope="session")
 def clashing(docs):
-    """The same rows with columns named as operators name theirs."""
+    """The same rows with columns named as operators name theirs; each holds its own name and the row's text."""
     from pyspark.sql import functions as F
 
-    return docs.select("*", *[F.lit("x").alias(c) for c in ("size", "start", "rep", "key", "label", "_text", "score", "kept", "shard", "content", "target")])
+    names = "size start rep key label _text score kept shard place content target _id _key _null _row _digest _plan_id _rest _best _order _salt _hot rest empty taken copies t1 t2 _i _a _b words lang_pred"
+    return docs.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce("text", F.lit("none"))).alias(c) for c in names.split()])
+
+
+@pytest.fixture(scope="session")
+def unharmed():
+    """Whether the columns of ``clashing`` still hold what they held."""
+
+    def check(table):
+        own = [c for c in table.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+        assert len(own) > 20
+        for r in table.collect():
+            for c in own:
+                assert r[c] in (f"{c}:{r.text}", f"{c}:none") and (r.text is not None or r[c] == f"{c}:none"), c
+
+    return check

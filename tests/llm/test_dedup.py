@@ -30,7 +30,7 @@ def test_exact_groups(docs, clashing, least_hot):
     assert exact.duplicate_groups(docs.limit(0)).count() == 0
 
 
-def test_distinct(docs, clashing):
+def test_distinct(docs, clashing, unharmed):
     for table in (docs, clashing):
         for least_hot in (1, 1000):
             kept = exact.distinct_documents(table, least_hot=least_hot)
@@ -39,7 +39,8 @@ def test_distinct(docs, clashing):
             texts = [r.text or "" for r in rows]
             assert len(texts) == len(set(texts)) == len({r.text or "" for r in docs.collect()})
             assert {r.doc_id for r in rows if r.text and r.text.startswith("the quick")} == {8}
-    assert exact.distinct_documents(docs.limit(0)).count() == 0
+    unharmed(exact.distinct_documents(clashing))
+    assert exact.distinct_documents(docs.limit(0)).count() == 0 and exact.distinct_documents(docs.select("text", "doc_id")).columns == ["text", "doc_id"]
 
 
 def test_exact_runs_no_python(docs):
@@ -122,7 +123,7 @@ def test_classes_equal_all_pairs(spark, monkeypatch, seed, block, large, hot):
     assert sum(r.kept for r in got) == len({r.class_id for r in got})
 
 
-def test_awkward_rows(spark, docs, clashing):
+def test_awkward_rows(spark, docs, clashing, unharmed):
     for table in (docs, clashing):
         got = sorted(((r.doc_id is not None, r.doc_id or 0), r.class_id, r.class_size) for r in near.near_duplicates(table).collect())
         assert len(got) == docs.count()
@@ -134,6 +135,7 @@ def test_awkward_rows(spark, docs, clashing):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 3, 4, 5, 6, 7, None, 9}
     assert near.near_duplicates(docs.limit(0)).count() == 0 and near.near_duplicates(docs.filter("doc_id = 3")).count() == 1
     assert near.one_of_each(clashing).columns == clashing.columns
+    unharmed(near.one_of_each(clashing))
 
 
 def test_short_texts_share_a_key():

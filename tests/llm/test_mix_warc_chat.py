@@ -73,19 +73,33 @@ def test_mix_of_a_corpus(spark):
         assert all(r.source_size == sizes[s] and r.target == pytest.approx(want[s]) and r.taken <= 3 * r.size and r.taken == r.size * len(r.copies) for r in mine)
         assert abs(sum(r.taken for r in mine) - want[s]) <= 3
     mixed = mixing.mixed_documents(df)
-    assert mixed.columns == [*df.columns, "shard"] and mixed.count() == sum(len(r.copies) for r in plan.values())
+    assert mixed.columns == df.columns and mixed.count() == sum(len(r.copies) for r in plan.values())
+    # each shard is one partition, in order of place
+    got = {}
+    for r in mixed.select(F.spark_partition_id().alias("p"), "doc_id").collect():
+        got.setdefault(r.p, []).append(r.doc_id)
+    want = {}
+    for i, r in plan.items():
+        for c in r.copies:
+            want.setdefault(c.shard, []).append((c.place, i))
+    assert got == {s: [i for _, i in sorted(rows)] for s, rows in want.items()}
     plan_text = mixing.plan_mix(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan_text and "Arrow" not in plan_text
 
 
-def test_mix_of_awkward_rows(docs, clashing):
+def test_shards_grow_with_the_mix(spark):
+    assert [mixing.shards_for(n, 16, 100) for n in (0, 1600, 1601, 100_000)] == [16, 16, 32, 1024]
+
+
+def test_mix_of_awkward_rows(docs, clashing, unharmed):
     for table in (docs, clashing):
         plan = mixing.plan_mix(table).collect()
         assert len(plan) == docs.count()
         assert all(r.taken == 0 for r in plan if r.size == 0) and all(r.taken <= 3 * r.size for r in plan)
         rows = mixing.mixed_documents(table)
         assert sum(len(WORD.findall(r.text)) for r in rows.collect()) == sum(r.taken for r in plan)
-    assert mixing.plan_mix(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.filter("doc_id = 4")).count() == 0
+    unharmed(mixing.mixed_documents(clashing))
+    assert mixing.plan_mix(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.filter("doc_id = 4")).count() == 0
 
 
 @pytest.mark.parametrize("seed", [0, 1, 2])
@@ -94,7 +108,7 @@ def test_mix_fills_around_a_long_document(spark, seed):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
     plan = mixing.plan_mix(df, weights=(1.0, 3.0), seed=seed).collect()
     for s in ("a", "b"):
-        mine = [r for r in plan if r._key == "a" + s]
+        mine = [r for r in plan if (r.doc_id < 2000) == (s == "a")]
         assert abs(sum(r.taken for r in mine) - mine[0].target) <= (1 if s == "a" else 25)
 
 

@@ -90,7 +90,8 @@ def test_toxicity_learns_and_locates():
     (found,) = model.locate(text)
     assert text[found[0] : found[1]].strip() == "You are vile today."
     parts = [text[a:b] for a, b in toxicity.sentences(text)]
-    brute = 1 - (1 - model.leak) * math.prod(1 - 1 / (1 + math.exp(-(model.base + sum(model.weights.get(f, 0) for w in set(toxicity.WORD.findall(p.lower())) for f in toxicity.features(w))))) for p in parts)
+    odds = [model.base + sum(model.weights.get(f, 0) for w in set(toxicity.WORD.findall(p.lower())) for f in toxicity.features(w)) for p in parts]
+    brute = 1 - (1 - model.leak) * math.prod(1 - 1 / (1 + math.exp(-z)) for z in odds if z >= toxicity.NOTHING)
     assert model.score(text) == pytest.approx(brute)
     assert model.score(None) == model.score("") == pytest.approx(model.leak) and model.locate(None) == []
 
@@ -99,6 +100,17 @@ def test_toxicity_without_labels():
     assert toxicity.learn([]).score("x") == 0.0 and toxicity.learn([("a", 1), ("b", 1)]).score("x") == 1.0
 
 
+def test_length_alone_is_not_toxic(spark):
+    draw = random.Random(2)
+    model = toxicity.learn([(spoken(draw, i % 5 == 0), int(i % 5 == 0)) for i in range(400)])
+    assert toxicity.Model({}, 0.01).score("a bird. " * 100_000) == pytest.approx(0.01)
+    book = " ".join(spoken(draw, False) for _ in range(11_000))
+    assert len(toxicity.bags(book)) > 90_000 and model.score(book) == pytest.approx(model.leak)
+    assert model.score(book + " you are vile.") >= 0.5
+    rows = spark.createDataFrame([(1, book), (2, "you are vile")], "doc_id long, text string")
+    assert [r.doc_id for r in toxicity.clean_documents(rows, model).select("doc_id").collect()] == [1]
+
+
 def test_toxicity_over_rows(spark, docs, clashing):
     draw = random.Random(2)
     model = toxicity.learn([(spoken(draw, i % 5 == 0), int(i % 5 == 0)) for i in range(300)])
@@ -134,6 +146,7 @@ def test_forward_sums_all_segmentations():
     for w, row in zip(words, got):
         want = [math.log(segmentations(language.MARK + w, model.table, k)) for k in range(2)]
         assert model.log_probability(w) == pytest.approx(want) and row.tolist() == pytest.approx(want)
+    assert (scorer.scores(words + words)[40:] == got).all()
     long = "abc" * 200
     assert scorer.scores([long])[0].tolist() == pytest.approx(model.log_probability(long))
     for k in range(2):
@@ -148,6 +161,38 @@ def test_language_of_texts():
     assert language.Scorer(language.learn([], language.pieces())).predict(pa.array(["a"])) == (["und"], [0.0])
 
 
+def test_long_words_teach():
+    """Clauses without spaces: both forms of the expected counts agree, and a language of such clauses is learned."""
+    vocabulary = [*"abcd", language.MARK, "ab", "bc", "abc", "dd"]
+    number = {p: i for i, p in enumerate(vocabulary)}
+    prob = (np.arange(1, len(vocabulary) + 1) / 45).tolist()
+    spans = language._spans(language.MARK + "abcddabz", number, 12)
+    one, two = [0.0] * len(vocabulary), [0.0] * len(vocabulary)
+    language._expect(9, spans, prob, 3, one)
+    language._expect_long(9, spans, prob, 3, two)
+    assert one == pytest.approx(two)
+    model = language.learn([("x", "abc" * 500), ("y", "dda" * 500)], vocabulary)
+    assert language.Scorer(model).predict(pa.array(["abcabc", "ddadda"]))[0] == ["x", "y"]
+
+
+def test_sample_of_languages(spark):
+    rows = [(i, f"text number {i} " + "z" * (50_000 if i == 7 else 0), "big" if i % 50 else f"small{i % 4}") for i in range(3000)] + [(9000, "same", "copies")] * 2500 + [(9001, None, "big"), (9002, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.sample(df, 20, 1000).collect()
+    count = Counter(r.lang for r in got)
+    assert count["big"] == 20 and count["copies"] == 1 and count["small0"] + count["small2"] == 40 and max(len(r.text) for r in got) <= 1000
+    assert sorted(got) == sorted(language.sample(df.repartition(5), 20, 1000).collect())
+    whole = language.sample(df.filter("doc_id = 7"), 20, 1000).collect()
+    assert len(whole) == 1 and len(whole[0].text) == 1000
+
+
+def test_language_without_labels(spark, docs):
+    from pyspark.sql import functions as F
+
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {(r.lang_pred, r.score) for r in language.identify_languages(bare).collect()} == {("und", 0.0)}
+
+
 def test_language_over_rows(docs, clashing):
     for table in (docs, clashing):
         got = language.identify_languages(table).collect()
