@@ -34,10 +34,10 @@ def _key(source: Column) -> Column:
 
 
 def _numbered() -> list[Column]:
-    """_id, doc_id, _key, size, _text: a number for each row, which stays once it is written, and a hash of its id and text."""
+    """_id, doc_id, _key, size, _text: a number for each row, which stays once it is written, and a hash of its text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.regexp_count(text, F.lit(WORD)).cast("long")
-    return [F.monotonically_increasing_id().alias("_id"), F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("source")).alias("_key"), words.alias("size"), F.xxhash64(F.col("doc_id"), text).alias("_text")]
+    return [F.monotonically_increasing_id().alias("_id"), F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("source")).alias("_key"), words.alias("size"), F.xxhash64(text).alias("_text")]
 
 
 def shards_for(words: int, shards: int = SHARDS, most: int = SHARD_WORDS) -> int:
@@ -195,7 +195,7 @@ def _planned(rows: DataFrame, folder: str, weights: tuple[float, ...], cap: int,
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards = shards_for(total, shards)
     bits = int(math.log2(max(BLOCKS, SHARE * shards)))
-    order = F.xxhash64(F.lit(seed), F.col("_text"))
+    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_text"))
     rows = rows.select("_id", "doc_id", "_key", "size", order.alias("_order")).withColumn("_block", F.shiftrightunsigned("_order", 64 - bits).cast("int"))
     blocks = rows.groupBy("_key", "_block").agg(F.sum("size").alias("words"))
     blocks = written(blocks, folder, "blocks")  # 2**bits rows a source at most

@@ -92,14 +92,16 @@ def closing_ids(tokenizer) -> np.ndarray:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, size: int = SIZE, sentence: float = SENTENCE, broken: float = BROKEN, span: int = SPAN) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, size: int = SIZE, sentence: float = SENTENCE, broken: float = BROKEN, span: int = SPAN, stored: bool = False) -> DataFrame:
     """One row for each piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and what cut its end (document, sentence, inside).
 
-    Documents keep their doc_id order, in sequences and inside them.  Null and
+    Documents keep their doc_id order, in sequences and inside them; with
+    ``stored`` the order in which the files of ``docs`` hold them (a shuffled shard
+    keeps its order), and no row is moved.  Null and
     empty texts have the end id alone.  Rows that share a doc_id are documents
-    of their own, ordered by text; a null doc_id comes first.  Other columns
-    aren't read.  An empty table gives no row.  Each task streams the rows of a
-    doc_id range and holds ``span`` tokens or one document."""
+    of their own, ordered by a hash of the text; a null doc_id comes first.  Other
+    columns aren't read.  An empty table gives no row.  Each task streams its rows
+    and holds ``span`` tokens or one document."""
 
     def run(parts):
         import pyarrow as pa
@@ -151,4 +153,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1,
             yield from packed(doc_ids, ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA)
+    if not stored:
+        tie = F.xxhash64("text")  # rows that share a doc_id don't have to share a task
+        rows = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
+    return rows.mapInArrow(run, SCHEMA)

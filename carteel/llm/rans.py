@@ -4,7 +4,8 @@ File: ``CTRANS01``, blocks, index, its length (8 bytes), ``CTRANS01``.  All
 blocks of a data set share one frequency table (file ``table.bin``).  A block
 holds up to ``lanes * steps`` ids; id number ``t * lanes + n`` belongs to lane
 ``n``.  Each lane is a coder of its own, and the lanes' 16-bit words are
-interleaved in the order in which a decoder asks for them.  Every ``every``
+interleaved in the order in which a decoder asks for them; behind them come the ids
+that have no frequency in the table, four bytes each.  Every ``every``
 steps a checkpoint keeps all lanes' states and the word position, so a block
 decodes from each checkpoint independently; the decoder here runs all lanes of
 all checkpoints of many blocks as one vector.  A checksum over the ids guards
@@ -46,13 +47,20 @@ class Layout:
 
 
 class Table:
-    """Frequencies with sum 2**16, at least 1 for each id that occurs."""
+    """Frequencies with sum 2**16, at least 1 for each id that occurs.
+
+    Vocabularies of more than 2**16 ids have one more symbol, ``escape``.  Where
+    more than 2**16 ids occur, the 2**15 most frequent have frequencies and the
+    others are coded as the escape symbol and written out beside."""
 
     def __init__(self, counts: np.ndarray):
         counts = np.asarray(counts, np.int64)
         present = np.flatnonzero(counts)
-        if len(present) > LOW:
-            raise ValueError(f"{len(present)} symbols don't fit {BITS} bits")
+        if len(counts) > LOW:
+            rare = present[np.lexsort((present, -counts[present]))][LOW // 2 :] if len(present) > LOW else present[:0]
+            counts = np.append(counts, counts[rare].sum())
+            counts[rare] = 0
+            present = np.flatnonzero(counts)
         freq = np.zeros(len(counts), np.int64)
         if len(present):
             total = int(counts.sum())
@@ -72,6 +80,8 @@ class Table:
         self.freq = freq
         before = np.concatenate(([0], np.cumsum(freq)[:-1])) if len(freq) else freq
         self.pad = int(np.argmax(freq)) if len(freq) else 0
+        # of so many symbols the last is the escape
+        self.escape = len(freq) - 1 if len(freq) > LOW else None
         self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) <= LOW else np.uint32), freq)
         # by id, for coding; whole numbers below 2**53 are exact in float64, which divides faster than integers do
         self.f, self.c = freq.astype(np.float64), before.astype(np.float64)
@@ -79,6 +89,12 @@ class Table:
         self.slot_freq = freq[self.symbol].astype(np.uint32)
         self.slot_rank = (np.arange(len(self.symbol)) - before[self.symbol]).astype(np.uint32)
 
+    def coded(self, ids: np.ndarray) -> np.ndarray:
+        """The symbols of ``ids``."""
+        if self.escape is None:
+            return ids
+        return np.where(self.freq[ids] > 0, ids, self.escape).astype(self.symbol.dtype)
+
     def dump(self) -> bytes:
         return MAGIC + struct.pack("<I", len(self.freq)) + zlib.compress(self.freq.astype("<u4").tobytes())
 
@@ -110,8 +126,8 @@ def encode_blocks(ids: np.ndarray, table: Table, layout: Layout) -> list[bytes]:
 
 
 def _encode(ids: np.ndarray, table: Table, layout: Layout, steps: int, count: int) -> list[bytes]:
-    lanes = layout.lanes
-    cells = np.ascontiguousarray(ids.reshape(-1, steps, lanes).swapaxes(0, 1)).reshape(steps, -1)
+    lanes, raw = layout.lanes, ids.reshape(-1, steps * layout.lanes)
+    cells = np.ascontiguousarray(table.coded(ids).reshape(-1, steps, lanes).swapaxes(0, 1)).reshape(steps, -1)
     width = cells.shape[1]
     n = width // lanes
     state = np.full(width, float(LOW))
@@ -133,12 +149,13 @@ def _encode(ids: np.ndarray, table: Table, layout: Layout, steps: int, count: in
             states[t // layout.every] = state
     per_step = sent.reshape(steps, n, lanes).sum(axis=2, dtype=np.int64)
     words, sent, states = words.reshape(steps, n, lanes), sent.reshape(steps, n, lanes), states.reshape(marks, n, lanes)
-    cells, out = cells.reshape(steps, n, lanes), []
+    out = []
     for b in range(n):
         w = words[:, b, :][sent[:, b, :]]
         at = np.concatenate(([0], np.cumsum(per_step[:, b])))[: steps : layout.every]
-        mine = cells[:, b, :].reshape(-1)[:count]
-        out.append(HEAD.pack(len(mine), len(w), steps, _crc(mine)) + states[:, b, :].astype("<u4").tobytes() + at.astype("<u4").tobytes() + w.astype("<u2").tobytes())
+        mine = raw[b, :count]
+        beside = mine[table.freq[mine] == 0] if table.escape is not None else mine[:0]
+        out.append(HEAD.pack(len(mine), len(w), steps, _crc(mine)) + states[:, b, :].astype("<u4").tobytes() + at.astype("<u4").tobytes() + w.astype("<u2").tobytes() + beside.astype("<u4").tobytes())
     return out
 
 
@@ -160,7 +177,7 @@ def _decode(group, steps: int, table: Table, layout: Layout, out: list) -> None:
     marks, n = -(-steps // every), len(group)
     state = np.empty((n, marks, lanes), np.uint32)
     at = np.empty((n, marks), np.int32)
-    words, base = [], 0
+    words, beside, base = [], [], 0
     for k, (_, block, (_, n_words, _, _)) in enumerate(group):
         pos = HEAD.size
         state[k] = np.frombuffer(block, "<u4", marks * lanes, pos).reshape(marks, lanes)
@@ -168,6 +185,7 @@ def _decode(group, steps: int, table: Table, layout: Layout, out: list) -> None:
         at[k] = np.frombuffer(block, "<u4", marks, pos).astype(np.int64) + base
         pos += 4 * marks
         words.append(np.frombuffer(block, "<u2", n_words, pos))
+        beside.append(np.frombuffer(block, "<u4", -1, pos + 2 * n_words))
         base += n_words
     # the last checkpoint of a block may have fewer steps; what is decoded past its end is dropped
     stream = np.concatenate([*words, np.zeros(lanes * every + 1, np.uint16)]).astype(np.uint32)
@@ -191,6 +209,8 @@ def _decode(group, steps: int, table: Table, layout: Layout, out: list) -> None:
     cells = np.ascontiguousarray(cells.swapaxes(0, 1)).reshape(n, marks * todo * lanes)
     for k, (i, _, (count, _, _, crc)) in enumerate(group):
         ids = cells[k, :count]
+        if table.escape is not None:
+            ids[ids == table.escape] = beside[k]
         if _crc(ids) != crc:
             raise ValueError(f"checksum of block {i} differs")
         out[i] = ids
@@ -368,14 +388,15 @@ def write_ids(rows: DataFrame, folder: str, layout: Layout = Layout()) -> DataFr
         size = write_file(path, file_chunks(all_docs(), Table.load(packed), layout, told))
         yield pa.record_batch([[no], [path], [told["n_docs"]], [told["n_tokens"]], [size]], names=["file_no", "path", "n_docs", "n_tokens", "n_bytes"])
 
-    ordered = rows.filter("counts = 0").select("doc_id", "ids", "width").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    tie = F.xxhash64("ids")  # rows that share a doc_id don't have to share a task
+    ordered = rows.filter("counts = 0").select("doc_id", "ids", "width").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "ids")
     manifest = written(ordered.mapInArrow(run, "file_no long, path string, n_docs long, n_tokens long, n_bytes long"), folder, "manifest")
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return manifest.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
 def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files, a task for each file."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files, each by a task of its own."""
 
     def run(parts):
         import pyarrow as pa
@@ -397,8 +418,9 @@ def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield _batch(pa, rows)
 
-    files = max(1, manifest.count())
-    return manifest.select("path", "first").repartition(files, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = (manifest.agg(F.max("file_no")).first()[0] or 0) + 1
+    spread = manifest.select(F.col("file_no").cast("int").alias("file_no"), "path", "first").repartitionById(files, "file_no").select("path", "first")
+    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _batch(pa, rows):
@@ -409,7 +431,7 @@ def encode_corpus(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
     """Tokenise whole texts, write them as coded id files, read the files back.
 
     Nulls and empty texts have the end id alone.  Rows that share a doc_id all
-    stay, ordered by their ids; rows with a null doc_id come first.  Other
+    stay, ordered by a hash of their ids; rows with a null doc_id come first.  Other
     columns aren't read.  An empty table gives no row and no file."""
     spark = docs.sparkSession
     folder = workspace(spark, "rans")

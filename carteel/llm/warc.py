@@ -19,14 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import RangeReader, workspace, write_file, written
+from .store import RangeReader, hot_keys, joined, workspace, write_file, written
 
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records with at most this many unread bytes between them are fetched in one read of at most READ bytes.
 GAP, READ = 64 << 10, 8 << 20
-#: A reading task gets the records of so many bytes of a file.
-STRIDE = 64 << 20
+#: A reading task gets the records of about so many bytes, in stretches of a file of as many.
+STRIDE = 16 << 20
 INDEX = "page_id long, path string, offset long, length long, url string, payload_digest string, record_type string"
 ROWS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
@@ -85,16 +85,16 @@ def _page(urn: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
-def responses(pages: DataFrame, least: int = 0) -> DataFrame:
+def responses(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """``pages`` (page_id, url, html) with response_id: the smallest page_id with an equal payload.
 
-    The join that finds it moves ids and digests only.  Rows with payloads of
+    The join that finds it moves ids and digests only, and those of frequent payloads not even that.  Rows with payloads of
     fewer than ``least`` bytes, and rows without page_id, are responses."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("_digest"))
-    slim = rows.filter(F.octet_length("html") >= least).select("page_id", "_digest")
+    slim = written(rows.filter(F.octet_length("html") >= least).select("page_id", "_digest"), folder, "digests")
     first = slim.groupBy("_digest").agg(F.min("page_id").alias("response_id"))
-    picked = slim.join(first, "_digest").filter("page_id <> response_id").select("page_id", "_digest", "response_id").distinct()
+    picked = joined(slim, first, "_digest", hot_keys(slim, "_digest", folder, "frequent")).filter("page_id <> response_id").select("page_id", "_digest", "response_id").distinct()
     return rows.join(picked, ["page_id", "_digest"], "left").select("page_id", "url", "html", F.coalesce("response_id", "page_id").alias("response_id"))
 
 
@@ -138,7 +138,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, level: int = 6
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
 
-    return written(responses(pages, least).mapInArrow(run, INDEX), folder, "index")
+    return written(responses(pages, folder, least).mapInArrow(run, INDEX), folder, "index")
 
 
 def ranges(wanted: list[tuple[int, int]], gap: int = GAP, most: int = READ) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
@@ -186,8 +186,10 @@ def read_archives(index: DataFrame, where: Column | None = None, with_payload: b
             if rows:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
 
-    picked = index if where is None else index.filter(where)
-    spread = picked.select("path", "offset", "length").repartition("path", F.floor(F.col("offset") / STRIDE))
+    picked = (index if where is None else index.filter(where)).select("path", "offset", "length")
+    # a row of the index stands for kilobytes of archive, so the number of tasks follows the bytes to read, not those of the rows
+    tasks = -(-(picked.agg(F.sum("length")).first()[0] or 0) // STRIDE) + 1
+    spread = picked.repartition(tasks, "path", F.floor(F.col("offset") / STRIDE))
     return spread.sortWithinPartitions("path", "offset").mapInArrow(run, schema)
 
 

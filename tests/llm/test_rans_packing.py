@@ -45,6 +45,20 @@ def test_many_rare_symbols_fit():
     assert (np.concatenate(got) == ids).all()
 
 
+def test_more_ids_than_slots():
+    """A vocabulary of 200,000 ids that all occur: the rare ones are written beside."""
+    draw = np.random.default_rng(1)
+    ids = np.concatenate((np.arange(200_000), draw.integers(0, 100, 300_000))).astype(np.uint32)
+    draw.shuffle(ids)
+    table = rans.Table.load(rans.Table(np.bincount(ids)).dump())
+    blocks = rans.encode_blocks(ids, table, rans.Layout())
+    assert (np.concatenate(rans.decode_blocks(blocks, table, rans.Layout())) == ids).all()
+    assert sum(map(len, blocks)) < 4 * len(ids)
+    few = np.array([199_999, 5, 5, 70_000], np.uint32)
+    table = rans.Table(np.bincount(few))
+    assert (rans.decode_blocks(rans.encode_blocks(few, table, rans.Layout()), table, rans.Layout())[0] == few).all()
+
+
 def test_damage_is_noticed():
     ids = np.arange(5000, dtype=np.uint16) % 97
     table = rans.Table(np.bincount(ids))
@@ -127,7 +141,17 @@ def test_pieces_cover_every_id(spark, docs, clashing):
         for parts in sequences.values():
             parts.sort()
             assert [o for o, _ in parts] == np.concatenate(([0], np.cumsum([n for _, n in parts])))[:-1].tolist() and sum(n for _, n in parts) <= 2048
+    assert sum(r.length for r in packing.pack(docs, stored=True).collect()) == sum(len(d) for _, d in want)
     long = [r for r in packing.pack(docs).collect() if r.doc_id == 6]
     d = encoded("word_bpe_49k.json", "word " * 30_000, 1)
     assert all(r.ids_crc32 == crc(d[r.start : r.start + r.length]) for r in long) and len(long) > 10
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_stored_order_is_kept(spark, tmp_path):
+    """Pieces follow each other as the files' rows do, copies and all."""
+    rows = [(i * 7 % 40, f"text {i % 40} " * (1 + i % 9)) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    got = packing.pack(table.coalesce(1), stored=True).orderBy("sequence_id", "offset").collect()
+    assert [r.doc_id for r in got if r.start == 0] == [i for i, _ in rows]
