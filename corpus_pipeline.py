@@ -1,8 +1,9 @@
 """The corpus pipeline: toxicity, exact and near duplicates, mixing, packing.
 
 Each stage reads what its predecessor kept, written as Parquet.  The first four
-return rows with the columns of ``documents``; the last returns the pieces of
-the packed sequences.
+return rows with the columns of ``documents``, other columns included, whatever
+their names; the last returns the pieces of the packed sequences.  An empty table
+passes all stages and gives no row.
 """
 
 from __future__ import annotations
@@ -14,29 +15,32 @@ from carteel.llm.store import workspace, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, learned from the labels, scores below 0.5."""
+    """Documents that the model, learned from the labels, scores below 0.5.
+
+    Null and empty texts, and texts of any length without an offending sentence, stay; repeated rows are judged each;
+    without labels of both kinds all rows are judged by the share of toxic labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.clean_documents(docs, toxicity.learn(toxicity.sample(docs, labels)))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text: the row with the largest doc_id, a null one last; null and empty texts are one group."""
     return exact.distinct_documents(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: the row with the least doc_id; texts without words all stay."""
     return near.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.mixed_documents(docs).drop("shard")
+    """Each document as often as the mix takes it, a shard in each file in shuffled order; texts without words are never taken."""
+    return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens; a document that the mix repeats is packed as often."""
-    return packing.pack(docs)
+    """Sequences of at most 2048 tokens in the order in which the mix stored the documents; one that it repeats is packed as often."""
+    return packing.pack(docs, stored=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact", drop_copies), ("near", drop_near), ("mix", mix), ("pack", pack)]
