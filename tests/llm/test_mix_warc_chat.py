@@ -109,7 +109,8 @@ def test_mix_fills_around_a_long_document(spark, seed):
     plan = mixing.plan_mix(df, weights=(1.0, 3.0), seed=seed).collect()
     for s in ("a", "b"):
         mine = [r for r in plan if (r.doc_id < 2000) == (s == "a")]
-        assert abs(sum(r.taken for r in mine) - mine[0].target) <= (1 if s == "a" else 25)
+        # documents are whole: what is left is less than the smallest (5 or 50 words), and half of that is the nearest one can always come
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= (2.5 if s == "a" else 25)
 
 
 def test_partial_pass_is_a_greedy_fill(spark):
