@@ -595,6 +595,84 @@ def k1(spark, sf):
     return fit.fit_affine(view(spark, sf, "v_obs")).select("map_id", sinks.world_file_text().alias("value"))
 
 
+# further functions, filters and data sets
+
+
+@query("f2_strictly_inside", "SELECT map_id, count(*) AS n FROM v_obs WHERE px - 70 >= 0 AND py - 100 >= 0 AND px - 70 < 12000 AND py - 100 < 9000 GROUP BY 1")
+def f2(spark, sf):
+    inside = spatial.strictly_inside(F.col("px") - 70, F.col("py") - 100, F.lit(12000), F.lit(9000))
+    return view(spark, sf, "v_obs").filter(inside).groupBy("map_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f11_in_content", "SELECT map_id, count(*) AS n FROM v_obs WHERE px >= 100 AND px < 13900 AND py >= 100 AND py < least(9900, floor(10000 * 0.87e0)) GROUP BY 1")
+def f11(spark, sf):
+    return view(spark, sf, "v_obs").filter(spatial.in_content(F.col("px"), F.col("py"), F.lit(14000), F.lit(10000))).groupBy("map_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CX, _CY = (189000.0, 0.85, -0.001, 1e-7, 2e-7, -1e-7), (630000.0, 0.002, -0.84, -2e-7, 1e-7, 3e-7)
+
+
+@query("p7_polynomial", f"SELECT map_id, k1, k2, k3, k4, {', '.join(_q(' + '.join(f'{v!r}::DOUBLE * {t}' for v, t in zip(c, ('1', 'px', 'py', 'px * py', 'px * px', 'py * py')))) + f' AS {n}' for n, c in (('x', _CX), ('y', _CY)))} FROM v_obs")
+def p7(spark, sf):
+    x, y = affine.polynomial(F.col("px"), F.col("py"), F.array(*map(F.lit, _CX)), F.array(*map(F.lit, _CY)))
+    return view(spark, sf, "v_obs").select(*KEY, q(x).alias("x"), q(y).alias("y"))
+
+
+@query("p13_point_names", "SELECT k, CASE WHEN regexp_full_match(t, '[0-9]{1,4}[A-Z]') THEN concat(left(t, length(t) - 1), '/', right(t, 1)) ELSE t END AS name, CASE WHEN h > 0 AND h < 2000 AND c > 0.2 THEN h END AS height FROM (SELECT p_partkey AS k, concat(CAST(p_size * 37 AS VARCHAR), CASE p_partkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'AB' ELSE '' END) AS t, TRY_CAST(concat(CASE WHEN p_partkey % 7 = 0 THEN 'x' ELSE '' END, CAST(p_size * 50 AS VARCHAR)) AS DOUBLE) AS h, (p_partkey % 10) / 10 AS c FROM part)")
+def p13(spark, sf):
+    rows = table(spark, sf, "part").selectExpr("p_partkey AS k", "concat(cast(p_size * 37 AS string), CASE p_partkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'AB' ELSE '' END) AS t", "concat(CASE WHEN p_partkey % 7 = 0 THEN 'x' ELSE '' END, cast(p_size * 50 AS string)) AS h", "(p_partkey % 10) / 10 AS c")
+    return rows.select("k", names.point_name(F.col("t")).alias("name"), names.point_height(F.col("h"), F.col("c")).alias("height"))
+
+
+@query("p22_size_change", f"SELECT map_id, {_q('abs(abs(a) - abs(a2)) / abs(a2)', 9)} AS on_x, {_q('abs(abs(d) - abs(d2)) / abs(d2)', 9)} AS on_y FROM (SELECT *, a * (1 + map_id * 1e-5) AS a2, d * (1 - map_id * 1e-5) AS d2 FROM (SELECT map_id, {_REF} FROM (SELECT s_suppkey AS map_id FROM supplier)))")
+def p22(spark, sf):
+    t = affine.columns()
+    x, y = affine.size_change(t, t | {"a": t["a"] * F.expr("1 + map_id * 1e-5"), "d": t["d"] * F.expr("1 - map_id * 1e-5")})
+    return _reference(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("map_id"))).select("map_id", q(x, 9).alias("on_x"), q(y, 9).alias("on_y"))
+
+
+@query("j9_neighbour_pairs", "WITH c AS (SELECT map_id, gt, floor(qx / 500) AS cx, floor(qy / 500) AS cy FROM v_truth) SELECT a.map_id, count(*) AS n, sum(b.gt - a.gt)::BIGINT AS apart FROM c a JOIN c b ON a.map_id = b.map_id AND a.gt < b.gt AND abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1 GROUP BY 1")
+def j9(spark, sf):
+    rows = view(spark, sf, "v_truth").selectExpr("map_id", "gt AS id", "qx AS px", "qy AS py")
+    return spatial.neighbour_pairs(rows, 500.0).groupBy("map_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("other") - F.col("id")).alias("apart"))
+
+
+_FOLDERS = "SELECT concat('f', CAST(c_custkey AS VARCHAR(20)), '.png') AS file_name, c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'partial' ELSE 'negative' END AS folder FROM customer"
+
+
+def _folders(spark, sf) -> DataFrame:
+    return spark.sql(_FOLDERS.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf, "customer"))
+
+
+@query("a17_label_counts", f"SELECT folder, count(CASE WHEN l = 'pos' THEN 1 END) AS pos, count(CASE WHEN l = 'neg' THEN 1 END) AS neg, count(CASE WHEN l = 'partial' THEN 1 END) AS partial, count(CASE WHEN l = 'skip' THEN 1 END) AS skip, count(CASE WHEN l IS NULL THEN 1 END) AS remaining FROM (SELECT folder, CASE k % 6 WHEN 0 THEN 'pos' WHEN 1 THEN 'neg' WHEN 2 THEN 'partial' WHEN 3 THEN 'skip' END AS l FROM ({_FOLDERS})) GROUP BY 1")
+def a17(spark, sf):
+    files = _folders(spark, sf)
+    marks = files.withColumn("label", F.expr("CASE k % 6 WHEN 0 THEN 'pos' WHEN 1 THEN 'neg' WHEN 2 THEN 'partial' WHEN 3 THEN 'skip' END")).filter("label IS NOT NULL")
+    return dataset.label_counts(marks.drop("k"), files.drop("k"))
+
+
+@query("k11_reject_actions", f"SELECT folder, 'negative' AS goal, count(*) AS n FROM (SELECT file_name, max(folder) AS folder FROM ({_FOLDERS}) WHERE folder IN ('positive', 'partial') AND k % 5 = 0 GROUP BY 1) GROUP BY 1")
+def k11(spark, sf):
+    files = _folders(spark, sf)
+    return dataset.reject_actions(files.filter("k % 5 = 0"), files).groupBy("folder", "goal").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d3_split_val_first", "SELECT label, doc_id, CASE WHEN k <= floor(n * 0.2) THEN 'val' ELSE 'train' END AS split FROM (SELECT label, doc_id, row_number() OVER (PARTITION BY label ORDER BY (doc_id * 7919) % 1000003, doc_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM v_scored)")
+def d3(spark, sf):
+    return dataset.split_val_first(view(spark, sf, "v_scored"), order=[F.expr("(doc_id * 7919) % 1000003"), F.col("doc_id")]).select("label", "doc_id", "split")
+
+
+@query("f14_without_held_out", "SELECT k4 AS map_id, count(*) AS n FROM v_name WHERE split_part(file_name, '_', 1) NOT IN ('M3', 'M7') GROUP BY 1")
+def f14(spark, sf):
+    held = spark.createDataFrame([("M3",), ("M7",)], "map_id string")
+    return dataset.without_held_out(view(spark, sf, "v_name"), held).groupBy(F.col("k4").alias("map_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("w7_first_of", "SELECT map_id, k1, k2, k3, k4 FROM (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY px, py, k1, k2, k3, k4) AS r FROM v_obs) WHERE r = 1")
+def w7(spark, sf):
+    return dataset.first_of(view(spark, sf, "v_obs"), ["map_id"], [F.col(c) for c in ("px", "py", "k1", "k2", "k3", "k4")]).select(*KEY)
+
+
 def slice_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confident, well-distributed points of each map, their transform without outliers, and how good it is."""
     picks = settled(_picked(spark, sf_dir, n=50).drop("pick"))  # at most 50 rows a map, used five times

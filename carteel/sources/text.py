@@ -53,7 +53,8 @@ def read_world_files(spark: SparkSession, path: str) -> DataFrame:
     t = {n: F.get("_v", F.lit(i)) for i, n in enumerate("abcdef")}
     short = (F.size("_v") < 6) | F.exists("_v", lambda x: x.isNull())
     reason = F.when(short, "fewer than six numbers").when(t["a"] * t["d"] - t["b"] * t["c"] == 0, "singular")
-    return rows.select("path", _map_id(F.col("path")).alias("map_id"), *[t[n].alias(n) for n in "abcdef"], reason.alias("reject_reason"))
+    folder = F.nullif(F.regexp_extract("path", r"/map_id=([^/]+)/", 1), F.lit(""))  # as this package's writer lays them out
+    return rows.select("path", F.coalesce(folder, _map_id(F.col("path"))).alias("map_id"), *[t[n].alias(n) for n in "abcdef"], reason.alias("reject_reason"))
 
 
 def _map_id(path: Column) -> Column:

@@ -208,3 +208,12 @@ def test_stream_is_the_batch(spark, tmp_path):
         ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / f"check{again}")).awaitTermination()
     kept = sorted(r.px for r in spark.read.parquet(str(tmp_path / "store")).collect())
     assert len(kept) >= 4 and all(b - a > 10 for a, b in zip(kept, kept[1:]))
+
+
+def test_world_files_come_back(spark, tmp_path):
+    from carteel.sources import sinks
+
+    rows = [("M1_a", 0.85, 0.002, -0.001, -0.84, 189000.5, 630000.25), ("M2", 1.5, 0.0, 0.0, -1.5, 1.0, 2.0)]
+    sinks.write_world_files(spark.createDataFrame(rows, "map_id string, a double, b double, c double, d double, e double, f double"), str(tmp_path / "w"))
+    got = text.read_world_files(spark, str(tmp_path / "w" / "*")).orderBy("map_id").collect()
+    assert [(r.map_id, r.a, r.b, r.c, r.d, r.e, r.f) for r in got] == rows and all(r.reject_reason is None for r in got)
