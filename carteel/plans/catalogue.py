@@ -688,3 +688,26 @@ ORACLES["flagship"] = with_views(
     u AS ({_fit_sql('z')}), w AS (SELECT map_id, {_RMSE.replace(' * 1000 ', ' * 1000000 ').replace('1000.0', '1000000.0')} FROM (SELECT o.map_id, {_ERR.replace('t.', 'u.')} AS err FROM z o JOIN u ON o.map_id = u.map_id) GROUP BY 1)
     SELECT u.map_id, {', '.join(f'{_q(n, 6)} AS {n}' for n in affine.NAMES)}, i.n, CASE WHEN i.n_in < 3 THEN i.n ELSE i.n_in END AS n_inliers, rmse_component_m, rmse_radial_m, max_error_m FROM u JOIN w ON u.map_id = w.map_id JOIN i ON u.map_id = i.map_id"""
 )
+
+
+_SCORED = "SELECT o_custkey AS map_id, CASE o_orderkey % 2 WHEN 0 THEN 'old' ELSE 'new' END AS frame, CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey * 37 % 128) / 128e0 END AS score FROM orders"
+_SCORES = f"SELECT map_id, frame, coalesce(avg(score), -1e0) AS mean_score, count(score) AS n_valid FROM ({_SCORED}) GROUP BY 1, 2"
+
+
+def _template_scores(spark, sf) -> DataFrame:
+    return evaluate.template_score(spark.sql(_SCORED.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf, "orders")), ["map_id", "frame"])
+
+
+@query("a19_template_score", _SCORES)
+def a19(spark, sf):
+    return _template_scores(spark, sf)
+
+
+@query("f7_trusted", f"SELECT * FROM ({_SCORES}) WHERE n_valid >= 3 AND mean_score >= 0.3e0")
+def f7(spark, sf):
+    return evaluate.trusted(_template_scores(spark, sf))
+
+
+@query("f8_better_frame", f"WITH s AS (SELECT map_id, frame, CASE WHEN n_valid >= 3 AND mean_score >= 0.3e0 THEN mean_score ELSE -1e0 END AS s FROM ({_SCORES})), r AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY s DESC, frame DESC) AS r FROM s) SELECT a.map_id, a.frame, a.s AS mean_score FROM r a LEFT JOIN r b ON a.map_id = b.map_id AND b.r = 2 WHERE a.r = 1 AND a.s >= 0.3e0 AND a.s - coalesce(b.s, -1e0) >= 0.05e0")
+def f8(spark, sf):
+    return evaluate.better_frame(_template_scores(spark, sf))
