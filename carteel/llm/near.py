@@ -14,7 +14,7 @@ Unaligned symbols ``n + m - 2a`` are a distance, so the triangle inequality
 rules out pairs exactly.  Texts of a bucket are first compared with one of them;
 only where a bucket still holds several components are the others compared,
 in blocks, and large buckets (of texts that share a passage, mostly) are first
-divided by a further sketch.  Components then come from label propagation over
+divided by the rarest symbols of their texts, without loss.  Components then come from label propagation over
 written tables.  Keys, classes and hubs with a large share of the rows are joined
 by broadcasting their few rows of the other side.
 """
@@ -39,9 +39,9 @@ WORDS, LEAST = 5, 0.8
 HASHES, TUPLE = 24, 4
 #: A task compares at most about so many texts of a bucket, of so many shingles in all, with as many others.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 18
-#: Buckets of more texts than this are divided by a further sketch (missing again 3e-6 of their pairs), at most so many times: dividing
-#: copies a text up to HASHES times, comparing it in blocks once for each block, so that pays from a few times HASHES blocks on.
-LARGE, DIVISIONS = 64 * BLOCK, 3
+#: Buckets of more texts than this are divided by shared symbols, which loses no link: dividing copies a text up to once for every
+#: fifth of its shingles, comparing it in blocks once for each block, so that pays only from many blocks on.
+LARGE = 64 * BLOCK
 #: Copies of the symbols of a text that very many others are compared with.
 SALTS = 64
 #: Hashes of words that a task keeps.
@@ -285,27 +285,41 @@ def _by_key(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.filter("NOT hot").join(table.filter("NOT hot").drop("hot"), "key").unionByName(warm)
 
 
-def _divided(held: DataFrame, sequences: DataFrame, hashes: int, size: int, folder: str) -> DataFrame:
-    """``held`` with the texts of each large bucket dealt out to buckets by the keys of a further sketch."""
-    for level in range(1, DIVISIONS + 1):
-        sizes = written(held.groupBy("key", "hot").agg((F.count(F.lit(1)) > LARGE).alias("_large")), folder, f"large-{level}")
-        if sizes.filter("_large").isEmpty():
-            return held
+def _divided(held: DataFrame, sequences: DataFrame, least: float, folder: str) -> DataFrame:
+    """``held`` with the texts of each large bucket dealt out to buckets of a symbol each; similar texts of a bucket still meet.
 
-        def run(parts, seed=1 + 1000 * level):
-            import pyarrow as pa
+    Similar texts share at least ``least * n`` symbols of either's ``n``.  So in any order of all symbols, the first one that
+    both have has as many of either text behind it: all but so many of a text's first symbols needn't be looked at.  In
+    order of the number of texts that have them, symbols of a passage come last, and those of one text alone join nothing."""
+    sizes = written(held.groupBy("key", "hot").agg((F.count(F.lit(1)) > LARGE).alias("_large")), folder, "large")
+    if sizes.filter("_large").isEmpty():
+        return held
 
-            for batch in parts:
-                keys = [sketch(np.frombuffer(v.as_buffer(), np.uint64), hashes, size, seed) for v in batch.column(1)]
-                yield pa.record_batch([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "more"])
+    def run(parts):
+        import pyarrow as pa
 
-        marked = written(_by_key(held, sizes), folder, f"marked-{level}")
-        mine = marked.filter("_large").drop("_large")
-        sketches = mine.select("rep").distinct().join(sequences, "rep").select("rep", "symbols").mapInArrow(run, "rep long, more array<long>")
-        finer = mine.join(sketches, "rep").withColumn("_more", F.explode("more")).withColumns({"key": F.xxhash64("key", "_more"), "hot": F.lit(False)})
-        held = written(marked.filter("NOT _large").select(*held.columns).unionByName(finer.select(*held.columns)), folder, f"divided-{level}")
-        held = _mixed(held, folder, f"divided-{level}")
-    return held
+        for batch in parts:
+            lengths = np.array([len(v.as_buffer()) // 8 for v in batch.column(1)], np.int64)
+            for first, stop in batches(batch.column(1), 1 << 22):
+                reps = np.repeat(batch.column(0).to_numpy()[first:stop], lengths[first:stop])
+                symbols = np.frombuffer(b"".join(batch.column(1).slice(first, stop - first).to_pylist()), np.int64)
+                yield pa.record_batch([pa.array(reps), pa.array(symbols)], names=["rep", "symbol"])
+
+    marked = written(_by_key(held, sizes), folder, "marked")
+    mine = marked.filter("_large").drop("_large")
+    symbols = sequences.join(mine.select("rep").distinct(), "rep", "left_semi").select("rep", "symbols").mapInArrow(run, "rep long, symbol long")
+    every = written(symbols.groupBy("symbol").agg(F.count(F.lit(1)).alias("texts")), folder, "symbols")
+    total = every.agg(F.sum("texts")).first()[0] or 0
+    often = every.filter(F.col("texts") >= max(store.LEAST_HOT, -(-total // store.HOT_SHARE))).select("symbol")
+    shared = joined(symbols, every.filter("texts > 1"), "symbol", often)
+    ranked = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("texts", "symbol"))).alias("_ranked"))
+    first = F.slice("_ranked", F.lit(1), F.greatest(F.size("_ranked") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-6)).cast("int") + 1, F.lit(0)))
+    finer = mine.join(ranked, "rep").withColumn("_first", F.explode(first)).withColumn("key", F.xxhash64("key", "_first.symbol"))
+    finer = written(finer.select("key", "rep", "label", "n", "low", "high"), folder, "finer")
+    hot = F.broadcast(hot_keys(finer, "key", folder, "hot-finer").withColumn("_hot", F.lit(True)))
+    finer = finer.join(hot, "key", "left").withColumn("hot", F.coalesce("_hot", F.lit(False)))
+    held = marked.filter("NOT _large").select(*held.columns).unionByName(finer.select(*held.columns))
+    return _mixed(written(held, folder, "divided"), folder, "divided")
 
 
 def _mixed(held: DataFrame, folder: str, name: str) -> DataFrame:
@@ -400,7 +414,7 @@ def _classified(docs: DataFrame, least: float, hashes: int, size: int) -> DataFr
     reach = written(open_.filter("_apart").groupBy("key", "hot").agg(F.min(F.col("low") - F.col("n") * share).alias("_reach")), folder, "reach")
     open_ = _by_key(open_, reach).filter(F.col("_apart") | (F.col("high") + F.col("n") * share + 1e-6 >= F.col("_reach")))
     open_ = written(open_.select("key", "hot", "rep", "label", "n", "low", "high"), folder, "within")
-    open_ = _divided(_mixed(open_, folder, "mixed"), sequences, hashes, size, folder)
+    open_ = _divided(_mixed(open_, folder, "mixed"), sequences, least, folder)
     more = written(_within(open_, sequences, least), folder, "more")
     if not more.isEmpty():
         labels = components(links.unionByName(more), folder, "second")

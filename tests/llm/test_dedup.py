@@ -123,6 +123,25 @@ def test_classes_equal_all_pairs(spark, monkeypatch, seed, block, large, hot):
     assert sum(r.kept for r in got) == len({r.class_id for r in got})
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """Whether a bucket is divided makes no difference: pairs that meet only in the bucket of a passage, by a single key."""
+    draw, rows = random.Random(7), []
+    shared = [f"p{i}" for i in range(90)]
+    for i in range(40):
+        own = [f"w{i}-{k}" for k in range(60)]
+        other = own[:]
+        other[15], other[30] = f"x{i}", f"y{i}"
+        other[-draw.randint(1, 6) :] = [f"z{i}"]
+        rows += [(2 * i, " ".join(shared + own)), (2 * i + 1, " ".join(shared + other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(store, "LEAST_HOT", 3)
+    got = []
+    for large in (1 << 30, 4):
+        monkeypatch.setattr(near, "LARGE", large)
+        got.append({r.doc_id: r.class_id for r in near.near_duplicates(df, hashes=1, size=1).collect()})
+    assert got[0] == got[1] and len(set(got[0].values())) < 70
+
+
 def test_awkward_rows(spark, docs, clashing, unharmed):
     for table in (docs, clashing):
         got = sorted(((r.doc_id is not None, r.doc_id or 0), r.class_id, r.class_size) for r in near.near_duplicates(table).collect())
