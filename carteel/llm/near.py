@@ -289,8 +289,8 @@ def _divided(held: DataFrame, sequences: DataFrame, least: float, folder: str) -
     """``held`` with the texts of each large bucket dealt out to buckets of a symbol each; similar texts of a bucket still meet.
 
     Similar texts share at least ``least * n`` symbols of either's ``n``.  So in any order of all symbols, the first one that
-    both have has as many of either text behind it: all but so many of a text's first symbols needn't be looked at.  In
-    order of the number of texts that have them, symbols of a passage come last, and those of one text alone join nothing."""
+    both have has at least so many of either text's symbols from it on, and only a text's first ones need be looked at.  Those
+    of one component alone come first in the order and join nothing; then comes what few texts have, and a passage last."""
     sizes = written(held.groupBy("key", "hot").agg((F.count(F.lit(1)) > LARGE).alias("_large")), folder, "large")
     if sizes.filter("_large").isEmpty():
         return held
@@ -299,19 +299,21 @@ def _divided(held: DataFrame, sequences: DataFrame, least: float, folder: str) -
         import pyarrow as pa
 
         for batch in parts:
-            lengths = np.array([len(v.as_buffer()) // 8 for v in batch.column(1)], np.int64)
-            for first, stop in batches(batch.column(1), 1 << 22):
-                reps = np.repeat(batch.column(0).to_numpy()[first:stop], lengths[first:stop])
-                symbols = np.frombuffer(b"".join(batch.column(1).slice(first, stop - first).to_pylist()), np.int64)
-                yield pa.record_batch([pa.array(reps), pa.array(symbols)], names=["rep", "symbol"])
+            lengths = np.array([len(v.as_buffer()) // 8 for v in batch.column(2)], np.int64)
+            for first, stop in batches(batch.column(2), 1 << 22):
+                reps, labels = (np.repeat(batch.column(c).to_numpy()[first:stop], lengths[first:stop]) for c in (0, 1))
+                symbols = np.frombuffer(b"".join(batch.column(2).slice(first, stop - first).to_pylist()), np.int64)
+                yield pa.record_batch([pa.array(reps), pa.array(labels), pa.array(symbols)], names=["rep", "label", "symbol"])
 
     marked = written(_by_key(held, sizes), folder, "marked")
     mine = marked.filter("_large").drop("_large")
-    symbols = sequences.join(mine.select("rep").distinct(), "rep", "left_semi").select("rep", "symbols").mapInArrow(run, "rep long, symbol long")
-    every = written(symbols.groupBy("symbol").agg(F.count(F.lit(1)).alias("texts")), folder, "symbols")
-    total = every.agg(F.sum("texts")).first()[0] or 0
-    often = every.filter(F.col("texts") >= max(store.LEAST_HOT, -(-total // store.HOT_SHARE))).select("symbol")
-    shared = joined(symbols, every.filter("texts > 1"), "symbol", often)
+    texts = written(mine.groupBy("rep").agg(F.first("label").alias("label"), F.first("n").alias("n")), folder, "large-texts")
+    symbols = texts.join(sequences, "rep").select("rep", "label", "symbols").mapInArrow(run, "rep long, label long, symbol long")
+    spread = symbols.groupBy("symbol").agg(F.count(F.lit(1)).alias("texts"), F.min("label").alias("_low"), F.max("label").alias("_high"))
+    spread = written(spread.filter("_low < _high").select("symbol", "texts"), folder, "symbols")
+    total = texts.agg(F.sum("n")).first()[0]
+    often = spread.filter(F.col("texts") >= max(store.LEAST_HOT, -(-total // store.HOT_SHARE))).select("symbol")
+    shared = joined(symbols.drop("label"), spread, "symbol", often)
     ranked = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("texts", "symbol"))).alias("_ranked"))
     first = F.slice("_ranked", F.lit(1), F.greatest(F.size("_ranked") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-6)).cast("int") + 1, F.lit(0)))
     finer = mine.join(ranked, "rep").withColumn("_first", F.explode(first)).withColumn("key", F.xxhash64("key", "_first.symbol"))
